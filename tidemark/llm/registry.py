@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, records
+from tidemark.llm import bpe, common, decontam, records, simhash
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -27,6 +27,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
+
+
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_simhash": op2_simhash,
     "op7_merge_replay": op7_merge_replay,
     "op10_decontamination": op10_decontamination,
 }
