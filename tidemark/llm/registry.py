@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, records, simhash
+from tidemark.llm import bpe, common, decontam, langid, records, secrets, simhash
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -32,12 +32,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path(MULTI_RANKS), public_tokenizers.PATTERN)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +53,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
+    "op4_language": op4_language,
     "op7_merge_replay": op7_merge_replay,
+    "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
