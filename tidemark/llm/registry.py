@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, langid, records, secrets, simhash
+from tidemark.llm import bpe, common, decontam, langid, records, secrets, simhash, warc
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -36,6 +36,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,8 +58,19 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
     "op4_language": op4_language,
+    "op5_warc": op5_warc,
     "op7_merge_replay": op7_merge_replay,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        h AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS holder FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN holder IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
+        FROM h
+    """,
+}
