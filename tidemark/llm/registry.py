@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, langid, records, secrets, simhash, urlfilter, warc
+from tidemark.llm import bpe, common, decontam, embeddup, langid, records, secrets, simhash, urlfilter, warc
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -51,6 +51,10 @@ def op7_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path(MULTI_RANKS), public_tokenizers.PATTERN)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op7_merge_replay": op7_merge_replay,
+    "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
