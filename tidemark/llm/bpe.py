@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,90 +30,111 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes], pairs: dict[int, int]) -> list[list[int]]:
-    """Ids of each word. ``tokens``: bytes by id; ``pairs``: memo of pair to merge rank, -1 for none."""
-    sym: list[int] = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    starts: list[int] = []
-    single = [ranks[bytes([b])] for b in range(256)]
-    for w in words:
-        at = len(sym)
-        starts.append(at if w else -1)
-        n = len(w)
-        sym += [single[b] for b in w]
-        nxt += range(at + 1, at + n + 1)
-        prv += range(at - 1, at + n - 1)
-        if n:
-            nxt[-1], prv[at] = -1, -1
-
-    def rank(a: int, b: int) -> int:
-        key = a << 24 | b
-        r = pairs.get(key)
-        if r is None:
-            r = pairs[key] = ranks.get(tokens[a] + tokens[b], -1)
-        return r
-
-    index: dict[int, list[int]] = {}
-    for p, q in enumerate(nxt):
-        if q >= 0 and (r := rank(sym[p], sym[q])) >= 0:
-            index.setdefault(r, []).append(p)
-    heap = list(index)
-    heapify(heap)
+def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """Merge rank of each pair of bytes (first << 8 | second), -1 for none."""
+    return np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes], pairs: dict[int, int], first: np.ndarray) -> tuple[list[int], list[int]]:
+    """Ids of all words on end, and where each word ends among them.
+
+    ``tokens``: bytes by id; ``pairs``: memo of pair to merge rank, -1 for none;
+    ``first``: byte_pairs(ranks).
+    """
+    data = np.frombuffer(b"".join(words), np.uint8)
+    if not len(data):
+        return [], [0] * len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    n = len(data)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    lasts = ends[ends > 0] - 1
+    after[lasts] = -1
+    before[lasts[lasts < n - 1] + 1] = -1
+    start = first[data[:-1].astype(np.int64) << 8 | data[1:]]
+    start[lasts[lasts < n - 1]] = -1
+    at = np.flatnonzero(start >= 0)
+    at = at[np.argsort(start[at], kind="stable")]
+    heap, cuts = np.unique(start[at], return_index=True)
+    # the inverted index: merge rank to the positions of its pairs, and the ranks as a heap
+    index = dict(zip(heap.tolist(), (x.tolist() for x in np.split(at, cuts[1:])), strict=True)) if len(at) else {}
+    heap = heap.tolist()
+    sym = np.array([ranks[bytes([b])] for b in range(256)])[data].tolist()
+    nxt, prv = after.tolist(), before.tolist()
+    known, spot = pairs.get, index.get
+
     while heap:
         r = heappop(heap)
         places = index.pop(r, None)
         if places is None:
             continue
         places.sort()
+        merged = tokens[r]
         for i, p in enumerate(places):
-            a, q = sym[p], nxt[p]
-            if a < 0 or q < 0 or rank(a, sym[q]) != r:
+            q = nxt[p]
+            if q < 0:
                 continue
-            n, o = nxt[q], prv[p]
-            sym[p], sym[q], nxt[p] = r, -1, n
-            lower = False
-            if n >= 0:
-                prv[n] = p
-                if (t := rank(r, sym[n])) >= 0:
-                    if t in index:
-                        index[t].append(p)
-                    else:
+            a, b = sym[p], sym[q]
+            if a < 0:
+                continue
+            key = a << 24 | b
+            t = known(key)
+            if t is None:
+                t = pairs[key] = ranks.get(tokens[a] + tokens[b], -1)
+            if t != r:
+                continue
+            sym[p], sym[q] = r, -1
+            low = r
+            nxt[p] = q = nxt[q]
+            if q >= 0:
+                prv[q] = p
+                key = r << 24 | sym[q]
+                t = known(key)
+                if t is None:
+                    t = pairs[key] = ranks.get(merged + tokens[sym[q]], -1)
+                if t >= 0:
+                    if (there := spot(t)) is None:
                         index[t] = [p]
                         heappush(heap, t)
-                    lower = t < r
-            if o >= 0 and (t := rank(sym[o], r)) >= 0:
-                if t in index:
-                    index[t].append(o)
-                else:
-                    index[t] = [o]
-                    heappush(heap, t)
-                lower |= t < r
-            if lower:  # a pair of lower rank has come up: it goes first, as in each word alone
+                    else:
+                        there.append(p)
+                    if t < low:
+                        low = t
+            q = prv[p]
+            if q >= 0:
+                key = sym[q] << 24 | r
+                t = known(key)
+                if t is None:
+                    t = pairs[key] = ranks.get(tokens[sym[q]] + merged, -1)
+                if t >= 0:
+                    if (there := spot(t)) is None:
+                        index[t] = [q]
+                        heappush(heap, t)
+                    else:
+                        there.append(q)
+                    if t < low:
+                        low = t
+            if low < r:  # a pair of lower rank has come up: it goes first, as in each word alone
                 if rest := places[i + 1 :]:
                     index[r] = rest + index.get(r, [])
                     heappush(heap, r)
                 break
-    out = []
-    for at in starts:
-        ids = []
-        while at >= 0:
-            ids.append(sym[at])
-            at = nxt[at]
-        out.append(ids)
-    return out
+    ids = np.array(sym)
+    alive = ids >= 0
+    return ids[alive].tolist(), np.concatenate(([0], np.cumsum(alive)))[ends].tolist()
 
 
 class Codec:
     """Encodes and decodes; remembers the words it has met, up to a bound."""
 
-    MOST_WORDS, MOST_CHARS, MOST_PAIRS = 400_000, 8_000_000, 2_000_000
+    MOST_WORDS, MOST_CHARS, MOST_PAIRS = 800_000, 16_000_000, 2_000_000
 
     def __init__(self, rank_file: str, pattern: str):
         self.ranks = load_ranks(rank_file)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.tokens[r] = token
+        self.first = byte_pairs(self.ranks)
+        self.decimals = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
         #: word: number of ids, ids as decimals, bytes the ids decode to
@@ -125,10 +146,15 @@ class Codec:
             self.pairs = {}
         whole = [w.encode() for w in new]
         rest = [i for i, w in enumerate(whole) if w not in self.ranks]
-        found = dict(zip(rest, replay([whole[i] for i in rest], self.ranks, self.tokens, self.pairs), strict=True))
-        for i, w in enumerate(new):
-            ids = found.get(i) or [self.ranks[whole[i]]]
-            self.words[w] = (len(ids), ",".join(map(str, ids)), b"".join([self.tokens[x] for x in ids]))
+        ids, ends = replay([whole[i] for i in rest], self.ranks, self.tokens, self.pairs, self.first)
+        decimals, parts = list(map(self.decimals.__getitem__, ids)), list(map(self.tokens.__getitem__, ids))
+        at = 0
+        for i, end in zip(rest, ends, strict=True):
+            self.words[new[i]] = (end - at, ",".join(decimals[at:end]), b"".join(parts[at:end]))
+            at = end
+        for w, data in zip(new, whole, strict=True):
+            if (r := self.ranks.get(data)) is not None:
+                self.words[w] = (1, self.decimals[r], self.tokens[r])
             self.chars += len(w)
 
     def entries(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
