@@ -1,43 +1,12 @@
 """Fingerprints, links and components against brute force."""
 
-import re
-
 import numpy as np
-import xxhash
 
+from tests_llm_helpers import brute_components, brute_fingerprint, close_pairs
 from tidemark.llm import registry, simhash
 from tidemark.llm.components import components
 
 
-def brute_fingerprint(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    k = min(3, len(words))
-    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(nodes, linked):
-    label = {n: n for n in nodes}
-    moved = True
-    while moved:
-        moved = False
-        for a, b in linked:
-            low = min(label[a], label[b])
-            if (label[a], label[b]) != (low, low):
-                label[a] = label[b] = low
-                moved = True
-    return label
-
-
-def close_pairs(fps):
-    f = np.array(fps, np.uint64)
-    for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 2):
-            yield i, i + 1 + int(j)
-
-
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(i, i + 1) for i in range(500, 620)] + [(1000, 1000), (None, 3)]

@@ -1,16 +1,16 @@
 """Token records, merge replay and decontamination against brute force."""
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
+from tests_llm_helpers import brute_contamination, tiktoken_encoding
 from tidemark.llm import bpe, decontam, records, registry
 
-TEXTS = ["", None, "Hello   world\n\nfoo\t bar's 123 ééé", "a" * 5000, "x\x1cy\x85z w 　q", "é ́e  <|endoftext|> ", "\n \n  \nWe'll see 'twas", "日本語 текст ١٢٣ ß", "aaaa abab aaaaaaa", "Word. WORD, É. é, İ; ΣΑΣ. don't. a.. .b <|ENDOFTEXT|> <|endoftext|>. ﬁn. x́."]
+TEXTS = ["", None, "Hello   world\n\nfoo\t bar's 123 ééé", "a" * 5000, "x\x1cy\x85z w 　q", "é ́e  <|endoftext|> ", "\n \n  \nWe'll see 'twas", "日本語 текст ١٢٣ ß", "aaaa abab aaaaaaa", "Word. WORD, É. é, İ; ΣΑΣ. don't. a.. .b <|ENDOFTEXT|> <|endoftext|>. ﬁn. x́. it's' dogs'.. x## שּׁ. a'll."]
 SCHEMA = "doc_id long, text string, pid string"
 
 
@@ -53,12 +53,6 @@ def test_records_of_empty_table(spark, tmp_path):
     assert manifest["docs"] == 0 and records.read_token_records(spark, str(tmp_path)).count() == 0
 
 
-def tiktoken_encoding():
-    import tiktoken
-
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-
-
 def test_merge_replay_equals_tiktoken(spark, sf_dir):
     enc, path = tiktoken_encoding(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     codec = bpe.Codec(path, public_tokenizers.PATTERN)
@@ -111,30 +105,6 @@ def test_bpe_columns(spark):
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def brute_contamination(texts, items):
-    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    windows = {}
-    for item, t in items:
-        w = WORD.findall(low(t))
-        n = min(13, len(w))
-        for i in range(len(w) - n + 1) if n else ():
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
-    lens = sorted({len(w) for w in windows})
-    out = []
-    for t in texts:
-        w, hit, found = WORD.findall(low(t)), set(), set()
-        for n in lens:
-            for i in range(len(w) - n + 1):
-                if got := windows.get(tuple(w[i : i + n])):
-                    hit |= set(range(i, i + n))
-                    found |= got
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    return out
-
-
 def test_contamination_on_small_alphabets(spark):
     rng = np.random.default_rng(2)
     say = lambda n: " ".join(rng.choice(["a", "B", "c", "é", "x1"], n))
@@ -144,7 +114,7 @@ def test_contamination_on_small_alphabets(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r)[1:] for r in decontam.contamination(d, b).orderBy("doc_id").collect()]
     assert got == brute_contamination(texts, items)
-    many = decontam.judge(decontam.find_spans(d, b, most_words=10)).orderBy("doc_id").select("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    many = decontam.judge(decontam.find_spans(d, b, most_words=10)).orderBy("row.doc_id").select("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert [tuple(r) for r in many.collect()] == got
     none = decontam.contamination(d, b.where("false")).agg({"n_hit": "sum"}).first()[0]
     assert none == 0 and decontam.contamination(d.where("false"), b).count() == 0

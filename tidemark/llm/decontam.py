@@ -204,15 +204,15 @@ SPANS = "array<struct<a:int,b:int>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 5_000_000, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, spans (hit word ranges), items (ids, ascending as strings) and text."""
-    out = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    groups = item_groups(benchmark, most_words)
-    for k, group in enumerate(groups):
-        text_too = keep_text or k + 1 < len(groups)
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 5_000_000, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings)."""
+    row = F.struct(*carry)
+    out = docs.select(row.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    kind = f"row {docs.select(row.alias('row')).schema['row'].dataType.simpleString()}, text string, n_words long, spans {SPANS}, items array<string>"
+    for group in item_groups(benchmark, most_words):
         items = [(str(r.item_id), words_of(r.text)) for r in group.where(F.col("item_id").isNotNull()).collect()]
 
-        def run(batches, items=items, text_too=text_too):
+        def run(batches, items=items):
             a = automaton(items, window)
             for b in batches:
                 n, spans, found = [], [], []
@@ -222,11 +222,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most
                     n.append(len(words))
                     spans.append([{"a": x, "b": y} for x, y in merge([(x["a"], x["b"]) for x in old] + s)])
                     found.append(sorted(i.union(was)))
-                cols = {"doc_id": b.column(0)} | ({"text": b.column(1)} if text_too else {})
-                yield pa.RecordBatch.from_pydict(cols | {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(found, pa.list_(pa.string()))})
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
 
-        out = out.mapInArrow(run, f"doc_id long, {'text string, ' * text_too}n_words long, spans {SPANS}, items array<string>")
-    return out
+        out = out.mapInArrow(run, kind)
+    return out.drop("text")
 
 
 def judge(found: DataFrame, least_share: float = 0.05) -> DataFrame:
@@ -243,7 +242,13 @@ def judge(found: DataFrame, least_share: float = 0.05) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: how much of it stands in windows of benchmark items."""
-    return judge(find_spans(docs, benchmark, keep_text=False)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = judge(find_spans(docs, benchmark, carry=("doc_id",)))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that aren't contaminated."""
+    return judge(find_spans(docs, benchmark, carry=tuple(docs.columns))).where("not contaminated").select("row.*")
 
 
 def excise(text: str, spans: list[tuple[int, int]]) -> str:
@@ -273,4 +278,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, longest: int = 0) -> Dat
                 out.append(excise(text, cut) if cut else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return find_spans(docs, benchmark).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+    return find_spans(docs, benchmark).select("row.doc_id", "row.text", "spans").mapInArrow(run, "doc_id long, text string")

@@ -198,3 +198,19 @@ def identify(docs: DataFrame, net: Net | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in group], pa.int64()), pa.array([r[1] for r in group], pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, net: Net | None = None, least: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language: not ``und`` and a score of ``least``."""
+    params, langs = (lambda n: (n.params, n.langs))(net or learn(docs))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = Compiled(params, langs)
+        for b in batches:
+            texts, keep = b.column(at).to_pylist(), []
+            for group in groups_of(texts, lambda t: len(t or ""), 1_000_000):
+                keep += [x != UNKNOWN and s >= least for x, s in model.predict(group)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -143,3 +143,14 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their secrets marked out of the text; n_chars, if there, follows the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.withColumn("_base", base_spans(text)).withColumn("_more", entropy_spans(text)).withColumn("_spans", F.array_sort(F.concat("_base", "_more")))
+    changed = F.size("_spans") > 0
+    out = found.withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

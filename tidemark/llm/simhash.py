@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise
@@ -108,3 +109,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of docs, all columns as they are, without near duplicates.
+
+    Of each component the row with the smallest doc_id stays (a null id is last; of equal
+    ids one row stays). The rows that go are told by a row number that is written with
+    the rows; if they are few, they go to all tasks, else both sides are shuffled.
+    """
+    at = docs.columns.index("text")
+    kind = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, "_fp"])
+
+    rows = materialise(docs.mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    found = rows.select(F.col("doc_id").cast("long"), "_row", F.col("_fp").alias("fp"))
+    comp = components(links(found)).withColumnRenamed("node", "fp")
+    first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
+    named = materialise(first.join(comp, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    kept = named.groupBy("component").agg(F.min("first").alias("kept"))
+    stay = materialise(named.join(materialise(kept, "kept"), "component").select("fp", F.col("kept._row").alias("stays")), "fingerprint-keepers")
+    gone = materialise(found.join(stay, "fp").where("_row <> stays").select("_row"), "near-duplicates")
+    few = gone.count() <= most_broadcast
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row", "_fp")
