@@ -20,12 +20,15 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
+import string
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,13 +73,15 @@ class WordEncoder:
     are independent; a tokenizer for which this doesn't hold is refused.
     """
 
-    MOST_PIECES, MOST_CHARS = 400_000, 8_000_000
+    MOST_PIECES, MOST_CHARS = 900_000, 14_000_000
+    MARKS = string.punctuation
 
     def __init__(self, tokenizer_file: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
+        self.slim = self.slimmed(Tokenizer)
         if self.tok.encode("a b", add_special_tokens=False).ids != [
             *self.tok.encode("a", add_special_tokens=False).ids,
             *self.tok.encode("b", add_special_tokens=False).ids,
@@ -84,20 +89,80 @@ class WordEncoder:
             raise ValueError("this tokenizer keeps white space: pieces are not independent")
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(True), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.chars = 0
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id, as bytes of ``dtype``."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def slimmed(self, kind):
+        """The same model for words that are letters in their final form, or None.
+
+        Where the tokenizer composes (NFC), blanks white space, lower-cases, splits off
+        runs of letters and maps bytes, only the last is left to do for such words.
+        """
+        spec = json.loads(self.tok.to_str())
+        known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if (spec["normalizer"] or {}).get("normalizers") != known or [x["type"] for x in steps] != ["Split", "ByteLevel"] or "[\\p{L}]+|" not in str(steps[0]["pattern"].get("Regex")):
+            return None
+        spec |= {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
+        return kind.from_str(json.dumps(spec))
+
+    def parts(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """For each piece a head and a tail with the same ids on end, and whether the head is final.
+
+        Marks at the end of letters are a word of their own, and letters have the ids of
+        their composed lower case; other pieces are heads as they are.
+        """
+        if self.slim is None or not len(pieces):
+            return pieces, pa.array([""] * len(pieces), pa.string()), pa.array([False] * len(pieces))
+        body = pc.ascii_rtrim(pieces, self.MARKS)
+        final = pc.utf8_lower(pc.utf8_normalize(body, "NFC"))
+        # one letter alone has a lower case of two characters, of which one is a mark
+        plain = pc.and_(pc.and_(pc.utf8_is_alpha(body), pc.utf8_is_alpha(final)), pc.invert(pc.match_substring(body, "\u0130")))
+        tail = pc.struct_field(pc.extract_regex(pieces, f"(?P<t>[{re.escape(self.MARKS)}]*)$"), "t")
+        return pc.if_else(plain, final, pieces), pc.if_else(plain, tail, ""), plain
+
+    def known(self, words: list[str], final) -> list[bytes]:
+        """Ids of distinct strings; those that are ``final`` go to the plain model."""
+        cache = self.cache
+        found = list(map(cache.get, words))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        for tok, at in ((self.slim, [i for i in lacking if final[i]]), (self.tok, [i for i in lacking if not final[i]])):
+            if at:
+                got = tok.encode([words[i] for i in at], is_pretokenized=True, add_special_tokens=False)
+                ends = (np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(at))) * self.dtype.itemsize).tolist()
+                data, last = np.array(got.ids, self.dtype).tobytes(), 0
+                for i, end in zip(at, ends, strict=True):
+                    found[i] = cache[words[i]] = data[last:end]
+                    self.chars += len(words[i])
+                    last = end
+        return found
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text with the end id, as bytes of ``dtype``.
+
+        Arrow cuts the texts and numbers their distinct pieces; only those are looked up,
+        and numpy lays their ids out for every occurrence.
+        """
         if len(self.cache) > self.MOST_PIECES or self.chars > self.MOST_CHARS:
-            self.cache, self.chars = {}, 0
-        new = list({p for part in pieces for p in part}.difference(self.cache))
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, self.dtype).tobytes()
-            self.chars += len(p)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, part)) + self.end for part in pieces]
+            self.cache, self.chars = {"": b""}, 0
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        head, tail, final = self.parts(pieces.dictionary)
+        # a string may be final in one piece and as it is in another: only letters are final, and those have equal ids
+        head, tail = head.dictionary_encode(), tail.dictionary_encode()
+        finals = np.zeros(len(head.dictionary), bool)
+        finals[head.indices.to_numpy()[np.asarray(final)]] = True
+        found = self.known(head.dictionary.to_pylist(), finals.tolist()) + self.known(tail.dictionary.to_pylist(), [False] * len(tail.dictionary))
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        firsts, ids = np.cumsum(lens) - lens, np.frombuffer(b"".join(found), self.dtype)
+        both = np.stack((head.indices.to_numpy(), tail.indices.to_numpy() + len(head.dictionary)), 1)
+        which = both[pieces.indices.to_numpy()].ravel()  # head and tail of each occurrence
+        counts = lens[which]
+        ends = np.cumsum(counts)
+        flat = ids[np.repeat(firsts[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[2 * (cut.offsets.to_numpy() - cut.offsets[0].as_py())].tolist()
+        return [flat[a:b].tobytes() + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -133,12 +198,13 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_file: str, end_i
         name = f"part-{pid:08d}-{uuid.uuid4().hex}"
         index = None
         for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for group in groups_of(pairs, lambda x: len(x[1] or ""), 1_000_000):
+            sizes = list(enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()))
+            for group in groups_of(sizes, lambda x: x[1], 4_000_000):
+                part = batch.slice(group[0][0], len(group))
                 if out is None:
                     out, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
                 written, places = [], []
-                for (doc_id, _), ids in zip(group, enc.encode([t for _, t in group]), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     record = frame(struct.pack(HEAD, 0 if doc_id is None else doc_id, doc_id is None, enc.dtype.itemsize) + ids)
                     n = len(ids) // enc.dtype.itemsize
                     written.append(record)
