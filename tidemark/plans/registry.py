@@ -1,4 +1,6 @@
 """Every registered query and, where SQL can say it, the SQL it must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import market
+
+QUERIES: dict = {**market.QUERIES}
+ORACLE_SQL: dict = {**market.ORACLE_SQL}
