@@ -251,25 +251,29 @@ def date_split(df: DataFrame, day: str = "today", parts: tuple[float, ...] = (0.
     return df.where(F.col(day).isNotNull()).withColumn("split", part)
 
 
-def row_split(df: DataFrame, order: list[str], parts: tuple[float, ...] = (0.7,), names: tuple[str, ...] = ("train", "valid")) -> DataFrame:
-    """Rows with a ``split`` by position in an order; equal keys may fall apart.
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``at``, their position from 1 in an order whose first key is a day.
 
-    Positions come from the counts of range partitions, so no task sorts all rows.
+    Days are counted and summed up (as many rows as there are days); rows are numbered
+    within their day. No task orders all rows.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    n = df.count()
-    at = F.col("_before") + F.col("_k")
-    cuts, share = [], 0.0
+    first, rest = order[0], order[1:] or order
+    starts = df.groupBy(F.col(first).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_before", F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).drop("_n")
+    numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(first).orderBy(*rest)))
+    return numbered.join(starts, F.col(first).eqNullSafe(F.col("_day"))).withColumn("at", F.col("_before") + F.col("_k")).drop("_day", "_before", "_k")
+
+
+def row_split(df: DataFrame, order: list[str], parts: tuple[float, ...] = (0.7,), names: tuple[str, ...] = ("train", "valid")) -> DataFrame:
+    """Rows with a ``split`` by position in an order; rows of one day may fall apart."""
+    n, cuts, share = df.count(), [], 0.0
     for p in parts:
         share += p
         cuts.append(int(n * share))
     part = F.lit(names[-1])
     for name, cut in reversed(list(zip(names, cuts, strict=False))):
-        part = F.when(at <= cut, name).otherwise(part)
-    return ordered.join(F.broadcast(starts), "_p").withColumn("split", part).drop("_p", "_k", "_before")
+        part = F.when(F.col("at") <= cut, name).otherwise(part)
+    return positions(df, order).withColumn("split", part).drop("at")
 
 
 def regression(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None, eps: float = 1e-8) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every registered query and, where SQL can say it, the SQL it must agree with."""
 
-from tidemark.plans import market
+from tidemark.plans import market, rules  # noqa: F401  rules adds to market's tables
 
-QUERIES: dict = {**market.QUERIES}
-ORACLE_SQL: dict = {**market.ORACLE_SQL}
+QUERIES: dict = market.QUERIES
+ORACLE_SQL: dict = market.ORACLE_SQL
