@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -341,39 +343,44 @@ MINED = ["dist_to_ma20", "vol5", "body_ratio", "room_to_20d_high", "rebound_from
 LOOSE = search.Config(max_depth=3, beam_width=60, top_k=40, min_train_count=20, min_selection_count=5, min_train_precision=0.2, min_selection_precision=0.2, min_train_lift=1.0, min_selection_lift=1.0, min_selection_lcb=0.05, min_selection_avg_return=-2.0, beam_min_count=15, fast_min_selection_count=4, fast_min_selection_precision=0.2, fast_min_selection_lift=1.0, fast_min_selection_avg_return=-3.0, min_month_count=2, min_selection_usable_months=1, min_selection_pass_month_rate=0.0, min_selection_month_min_precision=0.0, min_selection_month_min_return=-9.0, max_selection_crash_months=99)
 
 
-def mined(spark, sf_dir) -> tuple[DataFrame, list[search.Found]]:
+@contextmanager
+def mined(spark, sf_dir):
+    """Prepared rows, kept while they are read again for each depth, and the mined rules."""
     df = split_rows(spark, sf_dir)
-    atoms = rules.make_atoms(df.where("split = 'train'"), MINED, "decile")
-    rows = search.prepared(df, MINED, F.col(Y), F.col("ret"), KEY, F.col("month"))
-    return rows, search.beam_search(rows, atoms, LOOSE)
+    rows = search.prepared(df, MINED, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
+    try:
+        atoms = rules.make_atoms(rows.where("split = 'train'"), MINED, "decile")
+        yield rows, search.beam_search(rows, atoms, LOOSE)
+    finally:
+        rows.unpersist()
 
 
 @query("beam_search")
 def beam_search(spark, sf_dir):
     """Mined rules with their metrics on each split."""
-    _, found = mined(spark, sf_dir)
-    rows = [(i, f.text, f.score, *[m[k] for m in (f.train, f.selection, f.final) for k in ("n", "precision", "avg_return")]) for i, f in enumerate(found, 1)]
+    with mined(spark, sf_dir) as (_, found):
+        rows = [(i, f.text, float(f.score), *[x for m in (f.train, f.selection, f.final) for x in (m["n"], float(m["precision"]), float(m["avg_return"]))]) for i, f in enumerate(found, 1)]
     return spark.createDataFrame(rows, "rank int, rule string, score double, train_n int, train_precision double, train_return double, selection_n int, selection_precision double, selection_return double, final_n int, final_precision double, final_return double")
 
 
 @query("or_sets_exhaustive")
 def or_sets_exhaustive(spark, sf_dir):
-    rows, found = mined(spark, sf_dir)
-    table = selection.Patterns(rows, [f.rule for f in found[:10]])
-    return selection.sets_frame(spark, selection.exhaustive(table, [f.text for f in found[:10]]))
+    with mined(spark, sf_dir) as (rows, found):
+        table = selection.Patterns(rows, [f.rule for f in found[:10]])
+        return selection.sets_frame(spark, selection.exhaustive(table, [f.text for f in found[:10]]))
 
 
 @query("or_sets_greedy")
 def or_sets_greedy(spark, sf_dir):
-    rows, found = mined(spark, sf_dir)
-    table = selection.Patterns(rows, [f.rule for f in found])
-    return selection.sets_frame(spark, selection.greedy_all(table, [f.text for f in found]))
+    with mined(spark, sf_dir) as (rows, found):
+        table = selection.Patterns(rows, [f.rule for f in found])
+        return selection.sets_frame(spark, selection.greedy_all(table, [f.text for f in found]))
 
 
 @query("portfolio_diversified")
 def portfolio_diversified(spark, sf_dir):
-    _, found = mined(spark, sf_dir)
-    picked = selection.portfolio(found)
+    with mined(spark, sf_dir) as (_, found):
+        picked = selection.portfolio(found)
     return spark.createDataFrame([(i, f.text, f.selection["precision"], f.selection["n"]) for i, f in enumerate(picked, 1)], "rank int, rule string, precision double, n int")
 
 
@@ -389,6 +396,5 @@ def avoid_scenario(spark, sf_dir):
 @query("feature_grade")
 def feature_grade(spark, sf_dir):
     """Usefulness of each feature, alone and in the mined rules."""
-    df = split_rows(spark, sf_dir)
-    _, found = mined(spark, sf_dir)
-    return selection.usefulness(df, MINED, F.col(Y), found)
+    with mined(spark, sf_dir) as (rows, found):
+        return selection.usefulness(rows, MINED, F.col("y"), found)
