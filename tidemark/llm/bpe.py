@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import groups_of
+from tidemark.llm.common import slices_of, small_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,8 +137,8 @@ class Codec:
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
-        #: word: number of ids, ids as decimals, bytes the ids decode to
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        #: word: its ids as decimals with commas
+        self.words: dict[str, str] = {}
         self.chars = 0
 
     def learn(self, new: list[str]) -> None:
@@ -147,28 +147,33 @@ class Codec:
         whole = [w.encode() for w in new]
         rest = [i for i, w in enumerate(whole) if w not in self.ranks]
         ids, ends = replay([whole[i] for i in rest], self.ranks, self.tokens, self.pairs, self.first)
-        decimals, parts = list(map(self.decimals.__getitem__, ids)), list(map(self.tokens.__getitem__, ids))
+        if b"".join(map(self.tokens.__getitem__, ids)) != b"".join([whole[i] for i in rest]):
+            raise ValueError("the ids don't decode to their words")
+        decimals = list(map(self.decimals.__getitem__, ids))
         at = 0
         for i, end in zip(rest, ends, strict=True):
-            self.words[new[i]] = (end - at, ",".join(decimals[at:end]), b"".join(parts[at:end]))
+            self.words[new[i]] = ",".join(decimals[at:end])
             at = end
         for w, data in zip(new, whole, strict=True):
             if (r := self.ranks.get(data)) is not None:
-                self.words[w] = (1, self.decimals[r], self.tokens[r])
+                self.words[w] = self.decimals[r]
             self.chars += len(w)
 
-    def entries(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
-        """For each text, its words' entries in order."""
+    def texts(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
+        """For each text its ids as decimals with commas, and the bytes they decode to.
+
+        Words are decoded as they are learned; a text's words on end are what its ids give.
+        """
         if len(self.words) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
             self.words, self.chars = {}, 0
         cut = [self.split(t) if t else [] for t in texts]
         if new := list({w for part in cut for w in part}.difference(self.words)):
             self.learn(new)
         get = self.words.__getitem__
-        return [list(map(get, part)) for part in cut]
+        return [(",".join(map(get, part)), "".join(part).encode()) for part in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for e in self.entries([text])[0] for x in e[1].split(",")]
+        return [int(x) for x in self.texts([text])[0][0].split(",") if x]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -189,13 +194,12 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
     def run(batches):
         c = codec(rank_file, pattern)
-        for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for group in groups_of(rows, lambda x: len(x[1] or ""), 1_000_000):
-                ids = [np.fromstring(",".join([e[1] for e in es]), np.int32, sep=",") if es else np.empty(0, np.int32) for es in c.entries([t for _, t in group])]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in group], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for batch in batches:
+            for b in slices_of(batch, 1):
+                ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x, _ in c.texts(b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_column(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -219,11 +223,11 @@ def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFra
 
     def run(batches):
         c = codec(rank_file, pattern)
-        for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for group in groups_of(rows, lambda x: len(x[1] or ""), 1_000_000):
-                out = [(k, sum([e[0] for e in es]), hashlib.sha256(",".join([e[1] for e in es]).encode()).hexdigest(), hashlib.sha256(b"".join([e[2] for e in es])).hexdigest()) for (k, _), es in zip(group, c.entries([t for _, t in group]), strict=True)]
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            for b in slices_of(batch, 1):
+                found = c.texts(b.column(1).to_pylist())
+                n = [ids.count(",") + 1 if ids else 0 for ids, _ in found]
+                sums = [[hashlib.sha256(x).hexdigest() for x in y] for y in ([ids.encode() for ids, _ in found], [data for _, data in found])]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in sums]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, after bounding the rows of the batches that go to Python in this session:
+    Spark's 10,000 whole texts at once are more than a worker needs to hold."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; plain and ``file:`` paths are local or mounted."""
     if uri.startswith("file:"):
@@ -46,6 +55,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+def slices_of(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
+    """Consecutive slices of a batch with about ``most`` bytes of text; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for group in groups_of(list(enumerate(sizes)), lambda x: x[1], most):
+        yield batch.slice(group[0][0], len(group))
+
+
 def groups_of(items: list, size, most: int):
     """Consecutive slices of ``items`` whose sizes sum to about ``most``; a larger item is alone."""
     part, total = [], 0

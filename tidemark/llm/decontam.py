@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 WINDOW = 13
 #: Bytes outside of words become blanks; A-Z become a-z.
 _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -207,7 +209,7 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 5_000_000, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings)."""
     row = F.struct(*carry)
-    out = docs.select(row.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = small_batches(docs).select(row.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     kind = f"row {docs.select(row.alias('row')).schema['row'].dataType.simpleString()}, text string, n_words long, spans {SPANS}, items array<string>"
     for group in item_groups(benchmark, most_words):
         items = [(str(r.item_id), words_of(r.text)) for r in group.where(F.col("item_id").isNotNull()).collect()]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import groups_of
+from tidemark.llm.common import slices_of, small_batches
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 PAD = max(WIDTHS) - 1
@@ -191,13 +191,12 @@ def identify(docs: DataFrame, net: Net | None = None) -> DataFrame:
 
     def run(batches):
         model = Compiled(params, langs)
-        for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            for group in groups_of(rows, lambda r: len(r[2] or ""), 1_000_000):
-                found = model.predict([t for _, _, t in group])
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in group], pa.int64()), pa.array([r[1] for r in group], pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in batches:
+            for b in slices_of(batch, 2):
+                found = model.predict(b.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: Net | None = None, least: float = 0.3) -> DataFrame:
@@ -207,10 +206,8 @@ def accepted(docs: DataFrame, net: Net | None = None, least: float = 0.3) -> Dat
 
     def run(batches):
         model = Compiled(params, langs)
-        for b in batches:
-            texts, keep = b.column(at).to_pylist(), []
-            for group in groups_of(texts, lambda t: len(t or ""), 1_000_000):
-                keep += [x != UNKNOWN and s >= least for x, s in model.predict(group)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in slices_of(batch, at):
+                yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in model.predict(b.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.llm.common import filesystem, groups_of
+from tidemark.llm.common import filesystem, slices_of
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ROW = np.dtype([("offset", "<u8"), ("n", "<u8"), ("before", "<u8")])
@@ -198,9 +198,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_file: str, end_i
         name = f"part-{pid:08d}-{uuid.uuid4().hex}"
         index = None
         for batch in batches:
-            sizes = list(enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()))
-            for group in groups_of(sizes, lambda x: x[1], 4_000_000):
-                part = batch.slice(group[0][0], len(group))
+            for part in slices_of(batch, 1, 4_000_000):
                 if out is None:
                     out, index = fs.open_output_stream(f"{root}/{name}.rec"), fs.open_output_stream(f"{root}/{name}.idx")
                 written, places = [], []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, small_batches
 from tidemark.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _keys():
@@ -126,7 +126,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, most_broadcast: int = 1_000_0
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, "_fp"])
 
-    rows = materialise(docs.mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    rows = materialise(small_batches(docs).mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
     found = rows.select(F.col("doc_id").cast("long"), "_row", F.col("_fp").alias("fp"))
     comp = components(links(found)).withColumnRenamed("node", "fp")
     first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
