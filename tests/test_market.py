@@ -68,12 +68,12 @@ def test_smoothing_equals_pandas(spark):
     close_to(got.adx14, rma(100 * (pdi - mdi).abs() / (pdi + mdi)))
 
 
-def test_a_gap_decays_the_weights_as_pandas_does(spark):
+def test_smoothing_starts_at_the_first_value_and_keeps_nulls_apart(spark):
     from tidemark.functions import recurrences as r
 
     x = [None, 1.0, 2.0, None, None, 5.0, 4.0, None, 1.0]
     df = spark.createDataFrame([("A", DAY + dt.timedelta(i), v) for i, v in enumerate(x)], "instrument string, session date, v double")
-    got = [row.s for row in r.fold(df, ["v"], [("s", 0.3, "v")], []).orderBy("session").collect()]
+    got = [row.s for row in r.smooth(df, ["v"], {"s": lambda p: p.v.ewm(alpha=0.3, adjust=False).mean()}, []).orderBy("session").collect()]
     close_to([math.nan if v is None else v for v in got], pd.Series(x, dtype=float).ewm(alpha=0.3, adjust=False).mean())
 
 

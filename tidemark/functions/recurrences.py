@@ -1,60 +1,42 @@
-"""Exponential smoothing as folds over an instrument's ordered bars.
+"""Exponential smoothing of an instrument's ordered bars.
 
-A recurrence has no window function. Each instrument's bars become one ordered array
-(bounded by its sessions), one fold carries the states of all series, and the result
-is unpacked again: one shuffle, no Python. Smoothing starts at the first value; a null
-carries the state on, and the next value weighs more by the steps in between.
+A recurrence has no window function, and written as a fold over an array every series
+that builds on another repeats its whole expression. So each instrument's bars, which
+its number of sessions bounds, go to pandas once, and all series are smoothed there in
+compiled code. Smoothing starts at the first value; a null carries the level on, and the
+next value weighs more by the steps in between.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-def ema_alpha(span: int) -> float:
-    return 2.0 / (span + 1)
 
+def ema(s: pd.Series, span: int) -> pd.Series:
+    return s.ewm(span=span, adjust=False).mean()
 
-def wilder_alpha(length: int) -> float:
-    return 1.0 / length
 
+def wilder(s: pd.Series, length: int) -> pd.Series:
+    return s.ewm(alpha=1.0 / length, adjust=False).mean()
 
-def smooth(state: Column, x: Column, alpha: float) -> Column:
-    """One step for a state struct (s, g): g steps have passed since the last value."""
-    w = F.pow(F.lit(1.0 - alpha), (state["g"] + 1).cast("double"))
-    plain = state["s"] * (1.0 - alpha) + x * alpha
-    gap = (w * state["s"] + alpha * x) / (w + alpha)
-    s = F.when(x.isNull(), state["s"]).when(state["s"].isNull(), x).when(state["g"] == 0, plain).otherwise(gap)
-    g = F.when(x.isNull() & state["s"].isNotNull(), state["g"] + 1).otherwise(0)
-    return F.struct(s.alias("s"), g.alias("g"))
 
+def smooth(df: DataFrame, inputs: list[str], series: dict[str, Callable[[pd.DataFrame], pd.Series]], keep: list[str]) -> DataFrame:
+    """``series``: name to a function of the instrument's bars in order, to which the series
+    before it have been added. Returns instrument, session, ``keep`` and the series."""
+    cols = list(dict.fromkeys(["instrument", "session", *keep]))
+    sent = df.select(*dict.fromkeys([*cols, *inputs]))
+    kind = StructType([*[sent.schema[c] for c in cols], *[StructField(n, DoubleType()) for n in series]])
 
-def empty_state() -> Column:
-    return F.struct(F.lit(None).cast("double").alias("s"), F.lit(0).alias("g"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session", ignore_index=True)
+        for name, f in series.items():
+            pdf[name] = f(pdf)
+        found = pdf[list(series)]
+        pdf[list(series)] = found.astype(object).where(found.notna(), None)
+        return pdf[[*cols, *series]]
 
-
-def fold(df: DataFrame, inputs: list[str], series: list[tuple[str, float, object]], keep: list[str]) -> DataFrame:
-    """Smooth ``series`` (name, alpha, input) per instrument, all in one fold.
-
-    An input is a column name or a function of (bar, levels so far in this step), so a
-    signal line can be smoothed from lines of the same step. ``keep``: columns to return.
-    """
-    names = [n for n, _, _ in series]
-    bar = F.struct(F.col("session"), *[F.col(c) for c in dict.fromkeys([*inputs, *keep]) if c != "session"])
-    arrays = df.groupBy("instrument").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    blank = F.array(F.struct(*[F.lit(None).cast("double").alias(n) for n in names]))
-    start = F.struct(F.struct(*[empty_state().alias(n) for n in names]).alias("st"), F.slice(blank, 1, 0).alias("out"))
-
-    def step(acc, x):
-        levels: dict[str, Column] = {}
-        states: dict[str, Column] = {}
-        for name, alpha, source in series:
-            value = source(x, levels) if callable(source) else x[source]
-            states[name] = smooth(acc["st"][name], value, alpha)
-            levels[name] = states[name]["s"]
-        return F.struct(F.struct(*[states[n].alias(n) for n in names]).alias("st"), F.concat(acc["out"], F.array(F.struct(*[levels[n].alias(n) for n in names]))).alias("out"))
-
-    folded = arrays.select("instrument", "bars", F.aggregate("bars", start, step, lambda acc: acc["out"]).alias("levels"))
-    zipped = folded.select("instrument", F.inline(F.zip_with("bars", "levels", lambda b, v: F.struct(b.alias("b"), v.alias("v")))))
-    return zipped.select("instrument", *[F.col(f"b.{c}").alias(c) for c in dict.fromkeys(["session", *keep])], *[F.col(f"v.{n}").alias(n) for n in names])
+    return sent.groupBy("instrument").applyInPandas(run, kind)

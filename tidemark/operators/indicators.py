@@ -84,34 +84,28 @@ def rebuilt(bars: DataFrame) -> DataFrame:
 
 
 def smoothed(bars: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """MACD, RSI, ATR, +DI, -DI and ADX, all from one fold."""
+    """MACD, RSI, ATR, +DI, -DI and ADX, all in one pass over each instrument."""
     keep = keep if keep is not None else [c for c in bars.columns if c not in ("instrument", "session")]
     df = true_range(bars)
     delta, up, down = F.col("close") - w.lag("close"), F.col("high") - w.lag("high"), w.lag("low") - F.col("low")
-    df = df.withColumns({"_gain": F.greatest(delta, F.lit(0.0)), "_loss": F.greatest(-delta, F.lit(0.0)), "_up": up, "_down": down})
-    df = df.withColumns({"_gain": F.when(delta.isNotNull(), F.col("_gain")), "_loss": F.when(delta.isNotNull(), F.col("_loss"))})
+    df = df.withColumns({"_gain": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))), "_loss": F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0))), "_up": up, "_down": down})
     df = df.withColumns({"_pdm": F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0), "_mdm": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)})
-
-    def dx(_, lv):  # 100 |+DI - -DI| / (+DI + -DI): the range cancels, but no range is no value
-        return F.when(lv["atr14"] != 0, F.try_divide(100 * F.abs(100 * lv["_sp"] / lv["atr14"] - 100 * lv["_sm"] / lv["atr14"]), 100 * lv["_sp"] / lv["atr14"] + 100 * lv["_sm"] / lv["atr14"]))
-
-    rma = r.wilder_alpha(14)
-    series = [
-        ("ema12", r.ema_alpha(12), "close"),
-        ("ema26", r.ema_alpha(26), "close"),
-        ("macd_signal", r.ema_alpha(9), lambda _, lv: lv["ema12"] - lv["ema26"]),
-        ("_ga", rma, "_gain"),
-        ("_lo", rma, "_loss"),
-        ("atr14", rma, "tr"),
-        ("_sp", rma, "_pdm"),
-        ("_sm", rma, "_mdm"),
-        ("adx14", rma, dx),
-    ]
-    inputs = ["close", "tr", "_gain", "_loss", "_pdm", "_mdm"]
-    out = r.fold(df, inputs, series, keep)
+    over = lambda a, b: a / b.where(b != 0)  # noqa: E731  nothing over 0 is no value
+    series = {
+        "ema12": lambda p: r.ema(p.close, 12),
+        "ema26": lambda p: r.ema(p.close, 26),
+        "macd": lambda p: p.ema12 - p.ema26,
+        "macd_signal": lambda p: r.ema(p.macd, 9),
+        "_ga": lambda p: r.wilder(p._gain, 14),
+        "_lo": lambda p: r.wilder(p._loss, 14),
+        "atr14": lambda p: r.wilder(p.tr, 14),
+        "plus_di": lambda p: 100 * over(r.wilder(p._pdm, 14), p.atr14),
+        "minus_di": lambda p: 100 * over(r.wilder(p._mdm, 14), p.atr14),
+        "adx14": lambda p: r.wilder(100 * over((p.plus_di - p.minus_di).abs(), p.plus_di + p.minus_di), 14),
+    }
+    out = r.smooth(df, ["close", "tr", "_gain", "_loss", "_pdm", "_mdm"], series, keep)
     rsi = F.when((F.col("_lo") == 0) & (F.col("_ga") > 0), 100.0).when(F.col("_lo") > 0, 100 - 100 / (1 + F.col("_ga") / F.when(F.col("_lo") > 0, F.col("_lo"))))
-    di = lambda c: 100 * F.try_divide(F.col(c), F.col("atr14"))
-    return out.withColumns({"macd": F.col("ema12") - F.col("ema26"), "rsi14": rsi, "plus_di": di("_sp"), "minus_di": di("_sm")}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_ga", "_lo", "_sp", "_sm")
+    return out.withColumns({"rsi14": rsi, "macd_hist": F.col("macd") - F.col("macd_signal")}).drop("_ga", "_lo")
 
 
 def technical(bars: DataFrame) -> DataFrame:

@@ -58,21 +58,17 @@ def asof(left: DataFrame, right: DataFrame, on: str = "session", value: str = "c
     return a.unionByName(b).withColumn("asof_value", F.last("_value", ignorenulls=True).over(seen)).where("_side = 0").drop("_side", "_value")
 
 
-def weekly_closes(n: int = 60) -> Column:
-    """The closes of the weeks in the last n bars, oldest first; the last week ends today."""
-    held = F.collect_list(F.struct(week_of("session").alias("week"), F.col("close").alias("close"))).over(w.last(n))
-    start = F.array().cast("array<struct<week:date,close:double>>")
-
-    def add(acc, x):
-        same = F.coalesce(F.try_element_at(acc, F.lit(-1))["week"] == x["week"], F.lit(False))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.transform(F.aggregate(held, start, add), lambda x: x["close"])
-
-
 def weekly_changes(bars: DataFrame) -> DataFrame:
-    """Percent against last week's and the close four weeks ago; null with too few weeks."""
-    df = bars.withColumn("_weeks", weekly_closes())
-    ago = lambda n: F.when(F.size("_weeks") > n, F.try_element_at("_weeks", F.lit(-1 - n)))
-    change = lambda n: (F.try_divide(F.col("close"), ago(n)) - 1)
-    return df.withColumns({"pct_vs_lastweek": rounded(change(1) * 100), "pct_vs_last4week": rounded(change(4) * 100), "is_drop_more_than_minus1pct": change(1) < -0.01}).drop("_weeks")
+    """Percent against last week's and the close four weeks ago; null with too few weeks.
+
+    On a week's first bar the close before it is last week's; what that bar carried as
+    n weeks ago is n + 1 weeks ago from here on. All steps are windows over one ordering.
+    """
+    df = bars.withColumn("_week", week_of("session"))
+    df = df.withColumns({"_fresh": F.col("_week") != w.lag("_week"), "_w0": F.last("close", ignorenulls=True).over(w.so_far())})
+    for n in range(1, 5):
+        df = df.withColumn(f"_p{n}", F.when(F.col("_fresh"), w.lag(f"_w{n - 1}")))
+        df = df.withColumn(f"_w{n}", F.last(f"_p{n}", ignorenulls=True).over(w.so_far()))
+    change = lambda n: F.try_divide(F.col("close"), F.col(f"_w{n}")) - 1
+    out = df.withColumns({"pct_vs_lastweek": rounded(change(1) * 100), "pct_vs_last4week": rounded(change(4) * 100), "is_drop_more_than_minus1pct": change(1) < -0.01})
+    return out.drop("_week", "_fresh", "_w0", *[f"_{x}{n}" for n in range(1, 5) for x in "pw"])
