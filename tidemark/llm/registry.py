@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, embeddup, langid, records, secrets, simhash, substrings, urlfilter, warc
+from tidemark.llm import bpe, common, decontam, embeddup, langid, oracles, records, secrets, simhash, substrings, urlfilter, warc
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -80,13 +80,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op5_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
-        h AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS holder FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN holder IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
-        FROM h
-    """,
+    "op5_warc": oracles.WARC,
+    "op6_url_filter": oracles.URLS,
+    "op8_embeddings": oracles.EMBEDDINGS,
+    "op9_secrets": oracles.SECRETS,
+    "op10_decontamination": oracles.CONTAMINATION,
 }
