@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.operators import metrics, rules, search, selection
+from tidemark.operators import metrics, refine, rules, scoring, search, selection
 from tidemark.plans import sql
 from tidemark.plans.market import KEY, bars, query, rounded, signal_rows
 
@@ -398,3 +398,66 @@ def feature_grade(spark, sf_dir):
     """Usefulness of each feature, alone and in the mined rules."""
     with mined(spark, sf_dir) as (rows, found):
         return selection.usefulness(rows, MINED, F.col("y"), found)
+
+
+_EACH = " UNION ALL ".join(f"SELECT '{n}' AS rule, sum(CAST({condition(t)} AS INT)) AS n, sum(CAST({condition(t)} AND {Y} AS INT)) AS p FROM signals" for n, t in GOOD.items())
+
+
+@query(
+    "rule_verification",
+    f"""WITH {sql.SIGNALS}, each_rule AS ({_EACH}) SELECT rule, n AS selected_count, p AS positive_count, round(p * 1.0 / nullif(n, 0), 6) AS "precision" FROM each_rule
+    UNION ALL SELECT 'mean', sum(n), sum(p), round(avg(p * 1.0 / nullif(n, 0)), 6) FROM each_rule UNION ALL SELECT 'weighted', sum(n), sum(p), round(sum(p) * 1.0 / nullif(sum(n), 0), 6) FROM each_rule""",
+)
+def rule_verification(spark, sf_dir):
+    out = refine.verified(signal_rows(spark, sf_dir), {n: rule(t) for n, t in GOOD.items()}, F.col(Y))
+    return rounded(out, ["rule", "selected_count", "positive_count"], ["precision"], 6)
+
+
+@query("inferred_ops")
+def inferred_ops(spark, sf_dir):
+    """Which bound of each feature the outcome favours."""
+    df = split_rows(spark, sf_dir).where("split = 'train'")
+    found = refine.inferred_ops(df, MINED, F.col(Y), F.col("ret"), rules.GRIDS["decile"], least=20)
+    return spark.createDataFrame([(f, ",".join(ops)) for f, ops in found.items()], "feature string, ops string")
+
+
+@query("correlated_pruning")
+def correlated_pruning(spark, sf_dir):
+    df = signal_rows(spark, sf_dir)
+    auc = {r.feature: r.auc or 0.0 for r in metrics.auc(df, MINED, F.col(Y)).collect()}  # one row a feature
+    kept = refine.pruned(MINED, refine.correlated(df, MINED, 0.6), auc)
+    return spark.createDataFrame([(f, float(auc.get(f, 0.0)), f in kept) for f in MINED], "feature string, auc double, kept boolean")
+
+
+@query("final_filter")
+def final_filter(spark, sf_dir):
+    """Mined rules with style scores and whether the final and strict filters pass them."""
+    with mined(spark, sf_dir) as (rows, found):
+        months = [r.month for r in rows.select("month").distinct().collect()]
+        fw = {x["rule"]: x for x in search.forward_summary(rows, [f.rule for f in found], search.forward_months(months))} if found else {}
+        out = []
+        for f in found:
+            st = scoring.styles(f.selection, f.final, f.months, fw[f.text])
+            out.append((f.text, *[float(st[k]) for k in ("high_precision", "coverage", "stable", "aggressive", "defensive")], float(scoring.base_score(f.train, f.selection, f.final, f.months)), scoring.passes(f, fw[f.text]), scoring.passes(f, fw[f.text], scoring.STRICT)))
+    return spark.createDataFrame(out, "rule string, high_precision double, coverage double, stable double, aggressive double, defensive double, base double, passes boolean, strict boolean")
+
+
+@query("feature_contribution")
+def feature_contribution(spark, sf_dir):
+    """What each feature adds to the rules that use it."""
+    with mined(spark, sf_dir) as (rows, found):
+        out = [(r, x, float(gain), int(n)) for r, x, gain, n in refine.contribution(rows, found, LOOSE)]
+    return spark.createDataFrame(out, "rule string, feature string, precision_gain double, rows_taken int")
+
+
+@query("leave_one_feature_out")
+def leave_one_feature_out(spark, sf_dir):
+    """Mining again without each of four features."""
+    df = split_rows(spark, sf_dir)
+    few = MINED[:4]
+    rows = search.prepared(df, few, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
+    try:
+        out = refine.leave_one_out(rows, rules.make_atoms(rows.where("split = 'train'"), few, [0.1, 0.5, 0.9]), LOOSE)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(f, float(a), float(b), float(c_)) for f, a, b, c_ in out], "feature string, with_it double, without_it double, adds double")
