@@ -44,9 +44,12 @@ def test_pipeline_equals_plain_python(spark, sf_dir, documents):
 def test_stages_keep_the_columns(spark, sf_dir, documents):
     odd = documents.limit(0).unionByName(spark.createDataFrame([(None, "and the words of the text", None, None, None), (5, None, "en", "s", 0), (6, "", None, "s", 0), (7, "the same the same", "fr", "s", 1), (7, "the same the same", "fr", "s", 1), (8, "the same the same", "en", "t", 1), (9, "key password=abcdefghijkl", "en", "t", 3)], documents.schema))
     docs = documents.unionByName(odd)
+    clashing = docs.selectExpr("*", "1 AS row", "'x' AS spans", "2 AS fp", "3 AS number", "4 AS items", "'y' AS lang_pred", "5 AS n_words")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
+        docs, clashing = stage(spark, docs, sf_dir), stage(spark, clashing, sf_dir)
         assert docs.schema.simpleString() == documents.schema.simpleString()
+    assert sorted(map(str, clashing.select(*documents.columns).collect())) == sorted(map(str, docs.collect()))
+    assert clashing.select("row", "spans", "fp", "number", "items", "lang_pred", "n_words").distinct().collect() == [(1, "x", 2, 3, 4, "y", 5)]
     got = docs.where("doc_id is null or (doc_id between 5 and 9 and length(text) < 60)").collect()
     assert sorted(((r.doc_id, r.text) for r in got if r.text in ("and the words of the text", "the same the same", "key [secret]")), key=str) == [(7, "the same the same"), (9, "key [secret]"), (None, "and the words of the text")]
     empty = documents.where("false")

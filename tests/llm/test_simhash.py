@@ -47,3 +47,10 @@ def test_near_duplicates_on_documents(spark, sf_dir):
     assert {i: got[i] for i in ids} == {i: (f"{fps[i]:016x}", want[i]) for i in ids}
     assert got[None][1] == 9005 and got[9003] == (16 * "0", 9001)
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_rows_kept_do_not_depend_on_the_broadcast_bound(spark, sf_dir):
+    docs = registry.table(spark, sf_dir, "documents").unionByName(registry.table(spark, sf_dir, "documents").limit(5))
+    got = [sorted((r.doc_id, r.n_chars) for r in simhash.one_of_each(docs, most_broadcast=most).collect()) for most in (0, 1000)]
+    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got[0] == got[1] and [i for i, _ in got[0]] == sorted({c for c in comp.values()})

@@ -48,28 +48,35 @@ UNIT = 1 << 20
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
-def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches in order: start, end, value (of the group)."""
+def located(text: Column, pattern: str, group: int = 0, chunk: int = 500) -> Column:
+    """Matches in order: start, end, value (of the group).
+
+    Positions are added up chunk by chunk, so the work stays in proportion to the matches.
+    """
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.arrays_zip(pieces.alias("p"), whole.alias("m"), value.alias("v"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    kind = "array<struct<start:int,end:int,value:string>>"
+    none = F.array().cast(kind)
 
     def add(acc, x):
         start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        found = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+
+    def add_chunk(acc, part):
+        at = F.coalesce(F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(-1))["end"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), add, lambda a: a["out"])))
 
-    zipped = F.transform(parts, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), x["v"].alias("v")))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    parts = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), value.alias("v"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / chunk).cast("int")), lambda k: F.slice(parts, k * chunk + 1, F.lit(chunk)))
+    found = F.flatten(F.aggregate(chunks, F.array().cast(f"array<{kind}>"), add_chunk))
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
     """start, ord, end of the base matches, unsorted."""
     span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), x["end"].alias("end"))
-    assign = F.filter(located(text, ASSIGN, 2 - 1), lambda x: F.length(x["value"]) >= 12)
+    assign = F.filter(located(text, ASSIGN, 1), lambda x: F.length(x["value"]) >= 12)
     return F.concat(F.transform(assign, span("assign")), F.transform(located(text, ACCESS), span("access")), F.transform(located(text, HEX), span("hex"))).cast(SPAN)
 
 
@@ -146,11 +153,12 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of docs with their secrets marked out of the text; n_chars, if there, follows the text."""
+    """The rows of docs with their secrets marked out of the text; n_chars, if there, follows
+    the text. Other columns stay as they are, whatever their names."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("_base", base_spans(text)).withColumn("_more", entropy_spans(text)).withColumn("_spans", F.array_sort(F.concat("_base", "_more")))
-    changed = F.size("_spans") > 0
-    out = found.withColumn("text", redacted(F.col("text"), F.col("_spans")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), base_spans(text).alias("base"), entropy_spans(text).alias("more"))
+    found = found.select("row", F.array_sort(F.concat("base", "more")).alias("spans"))
+    found = found.select("row", "spans", redacted(F.col("row.text"), F.col("spans")).alias("clean"))
+    chars = F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("clean"), "n_chars": chars}
+    return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -118,21 +118,21 @@ def one_of_each(docs: DataFrame, shingle: int = 3, most_broadcast: int = 1_000_0
     ids one row stays). The rows that go are told by a row number that is written with
     the rows; if they are few, they go to all tasks, else both sides are shuffled.
     """
-    at = docs.columns.index("text")
-    kind = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    packed = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kind = StructType([packed.schema["row"], StructField("fp", LongType())])
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, "_fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["row", "fp"])
 
-    rows = materialise(small_batches(docs).mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    found = rows.select(F.col("doc_id").cast("long"), "_row", F.col("_fp").alias("fp"))
+    rows = materialise(packed.mapInArrow(run, kind).withColumn("number", F.monotonically_increasing_id()), "fingerprinted")
+    found = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "number", "fp")
     comp = components(links(found)).withColumnRenamed("node", "fp")
-    first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
+    first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")).alias("first"))
     named = materialise(first.join(comp, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
     kept = named.groupBy("component").agg(F.min("first").alias("kept"))
-    stay = materialise(named.join(materialise(kept, "kept"), "component").select("fp", F.col("kept._row").alias("stays")), "fingerprint-keepers")
-    gone = materialise(found.join(stay, "fp").where("_row <> stays").select("_row"), "near-duplicates")
+    stay = materialise(named.join(materialise(kept, "kept"), "component").select("fp", F.col("kept.number").alias("stays")), "fingerprint-keepers")
+    gone = materialise(found.join(stay, "fp").where("number <> stays").select("number"), "near-duplicates")
     few = gone.count() <= most_broadcast
-    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row", "_fp")
+    return rows.join(F.broadcast(gone) if few else gone, "number", "left_anti").select("row.*")
