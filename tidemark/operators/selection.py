@@ -161,6 +161,23 @@ def greedy_style(table: Patterns, names: list[str], split: str = "selection", mo
     return {"kind": "style", "members": [names[i] for i in chosen], "score": now["p"], "facts": {s: facts(got.get(s), whole.get(s)) for s in SPLITS}}
 
 
+def scenarios(table: Patterns, names: list[str], options: tuple[tuple[int, float, int], ...] = ((3, 0.5, 8), (3, 0.4, 12), (5, 0.3, 16), (8, 0.2, 20)), split: str = "train", judge: str = "selection") -> list[dict]:
+    """A greedy set for each (least new rows, precision floor, most rules), the best first.
+
+    Sets are made on one split and ranked on another: by the tier that precision and
+    coverage reach, then by coverage. A set that picks nothing there comes last.
+    """
+    from tidemark.operators.scoring import tier
+
+    out = []
+    for least_new, floor, most in options:
+        found = greedy_precision(table, names, split, most, least_new, floor)
+        if found:
+            f = found["facts"][judge]
+            out.append(found | {"kind": f"new {least_new}, precision {floor}, rules {most}", "score": f["p"], "_rank": (f["n"] == 0, tier(f["p"], f["share"]), -f["share"])})
+    return [{k: v for k, v in x.items() if k != "_rank"} for x in sorted(out, key=lambda x: (*x["_rank"], x["kind"]))]
+
+
 def greedy_all(table: Patterns, names: list[str]) -> list[dict]:
     return [x for x in (greedy_ev(table, names), greedy_precision(table, names), greedy_style(table, names)) if x]
 

@@ -137,6 +137,17 @@ def features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: rounded(finite(c)) for c in names}).drop("_value")
 
 
+def longer_features(df: DataFrame) -> DataFrame:
+    """Monthly and quarterly views for markets without a price limit: deviation, mean and
+    share of rises of 20 and 30 days, and range and drawdown of 60."""
+    out = {}
+    for n in (20, 30):
+        out |= {f"vol{n}": w.std("change_pct", n), f"mean_ret{n}": w.mean("change_pct", n), f"pos{n}_ratio": w.full(lambda x: F.avg((x > 0).cast("double")), "change_pct", n)}
+    top, bottom = w.full(F.max, "high", 60), w.full(F.min, "low", 60)
+    out |= {"range_3m": (F.try_divide(top, bottom) - 1) * 100, "drawdown_3m": (F.try_divide(F.col("close"), top) - 1) * 100}
+    return df.withColumns({k: finite(v) for k, v in out.items()})
+
+
 def forward_rates(df: DataFrame, days: int = 7) -> DataFrame:
     """Arrays of the next days' close, high, low and open against today's close; a missing day is null."""
     lists = {f"{c}_rates": F.array(*[rate(w.lead(c, k), "close") for k in range(1, days + 1)]) for c in ("close", "high", "low", "open")}

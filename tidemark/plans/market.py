@@ -349,3 +349,15 @@ def overlay_full_join(spark, sf_dir):
     b = bars(spark, sf_dir)
     right = b.where("volume % 3 = 0").select(*KEY, (F.col("close") * 2).alias("close"))
     return rounded(cleaning.overlay(b.where("volume % 2 = 0").select(*KEY, "close", "volume"), right, KEY), KEY, ["close", "volume"])
+
+
+_LONG = ["vol20", "vol30", "mean_ret20", "mean_ret30", "pos20_ratio", "pos30_ratio", "range_3m", "drawdown_3m"]
+_simple(
+    "longer_features",
+    lambda b: signals.longer_features(indicators.daily_change(b)),
+    _LONG,
+    [sql.BARS, sql.CHANGE, "risen AS (SELECT *, CAST(change_pct > 0 AS INT) AS up FROM changed)"],
+    "risen",
+    [*[sql.full("stddev_samp", "change_pct", n) for n in (20, 30)], *[sql.full("avg", "change_pct", n) for n in (20, 30)], *[sql.full("avg", "up", n) for n in (20, 30)], f"(({sql.full('max', 'high', 60)}) / nullif({sql.full('min', 'low', 60)}, 0) - 1) * 100", f"(close / nullif({sql.full('max', 'high', 60)}, 0) - 1) * 100"],
+    4,
+)

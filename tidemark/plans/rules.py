@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
 from tidemark.operators import metrics, refine, rules, scoring, search, selection
-from tidemark.plans import sql
+from tidemark.plans import config, sql
 from tidemark.plans.market import KEY, bars, query, rounded, signal_rows
 
 Y = "target_before_stop_10"
@@ -461,3 +462,25 @@ def leave_one_feature_out(spark, sf_dir):
     finally:
         rows.unpersist()
     return spark.createDataFrame([(f, float(a), float(b), float(c_)) for f, a, b, c_ in out], "feature string, with_it double, without_it double, adds double")
+
+
+@query("good_scenarios")
+def good_scenarios(spark, sf_dir):
+    """Rule sets under several precision and size bounds, ranked on rows they weren't made on."""
+    with mined(spark, sf_dir) as (rows, found):
+        table = selection.Patterns(rows, [f.rule for f in found])
+        return selection.sets_frame(spark, selection.scenarios(table, [f.text for f in found]))
+
+
+@query("preset_search")
+def preset_search(spark, sf_dir):
+    """The balanced preset: its features, the bounds that suit them, intervals and group limits."""
+    names = config.features("balanced")
+    df = split_rows(spark, sf_dir)
+    cfg = replace(LOOSE, max_depth=2, intervals=frozenset(config.INTERVALS), groups=config.group_of(), limits={"VOLATILITY": 2, "CANDLE": 2, "POSITION": 1})
+    rows = search.prepared(df, names, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
+    try:
+        found = search.beam_search(rows, rules.make_atoms(rows.where("split = 'train'"), names, "v4", config.ops(names)), cfg)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(i, f.text, float(f.score), f.selection["n"], float(f.selection["precision"])) for i, f in enumerate(found, 1)], "rank int, rule string, score double, n int, precision double")
