@@ -65,13 +65,16 @@ def ordered(entries: DataFrame, eps: float, dims: int, sample: int) -> DataFrame
 
     def run(batches):
         for b in batches:
-            p, g = [], []
-            for v in b.column("v").to_pylist():
-                w = axes.get(len(v))
-                x = unit(np.array([v], float))[0]
-                q = x @ w if w is not None else x[:dims]  # any fixed rotation's part bounds the distance
-                p.append(q.tolist())
-                g.append(np.floor(q / eps).astype(int).tolist())
+            vs = b.column("v").to_pylist()
+            sizes = np.array([len(v) for v in vs])
+            p: list = [None] * len(vs)
+            for n in set(sizes.tolist()):
+                at = np.flatnonzero(sizes == n)
+                x = unit(np.array([vs[i] for i in at], float))
+                q = x @ axes[n] if n in axes else x[:, :dims]  # any fixed rotation's part bounds the distance
+                for i, row in zip(at.tolist(), q.tolist(), strict=True):
+                    p[i] = row
+            g = [np.floor(np.array(q) / eps).astype(int).tolist() for q in p]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.list_(pa.float64())), pa.array(g, pa.list_(pa.int32()))], names=[*b.schema.names, "p", "g"])
 
     return entries.mapInArrow(run, "v array<double>, n long, least long, p array<double>, g array<int>")
@@ -212,7 +215,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int):
 
 def links(entries: DataFrame, least: float = 0.95, block: int = 1024, sample: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Entries (id, v, n, least) and what joined() gives for all their block pairs."""
-    spark, eps = entries.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * least)))
+    spark, eps = entries.sparkSession, max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * least))))
     folder = work_path(spark, "embedding-blocks")
     cut = materialise(blocks(ordered(entries, eps, DIMS, sample), block, folder), "blocks")
     # number the blocks: partitions' counts are summed in order, one row a partition
