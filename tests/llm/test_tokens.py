@@ -140,3 +140,18 @@ def test_crc_of_ids_is_of_u32(spark, tmp_path):
     records.write_token_records(docs(spark, ["hello"]).where("doc_id = 0"), str(tmp_path), public_tokenizers.path("word_bpe_49k.json"), 2)
     r = records.read_token_records(spark, str(tmp_path)).selectExpr("crc32(ids) c", "ids").first()
     assert r.c == zlib.crc32(bytes(r.ids)) and len(r.ids) % 4 == 0
+
+
+def test_items_without_id_are_hit(spark):
+    """As the SQL has it: their words are hit, they count as one item, and the digest has no id of them."""
+    import hashlib
+
+    long = " ".join(f"v{i}" for i in range(20))
+    b = spark.createDataFrame([(None, long), (None, "two words"), (5, "other thing")], "item_id long, text string")
+    d = spark.createDataFrame([(1, long), (2, "two words"), (3, "two words other thing"), (4, "clean")], "doc_id long, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, 20, 20, 1, sha(""), True), (2, 2, 2, 1, sha(""), True), (3, 4, 4, 2, sha("5"), True), (4, 1, 0, 0, sha(""), False)]
+    assert [tuple(r) for r in decontam.contamination(d, b).orderBy("doc_id").collect()] == want
+    many = decontam.judge(decontam.find_spans(d, b, most_words=1)).orderBy("row.doc_id")
+    assert [(r.n_hit, r.n_items, r.items_sha256) for r in many.collect()] == [(x[2], x[3], x[4]) for x in want]
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [4]

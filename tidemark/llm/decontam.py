@@ -14,8 +14,10 @@ Benchmark size is checked: items are dealt into automata of at most ``most_words
 words, and each automaton is one more pass over the documents, so the memory of a
 worker is bounded whatever the size of the benchmark.
 
-Defined cases: null or wordless texts have no words and are not contaminated; null
-or wordless items are no items; items with equal ids count once.
+Defined cases: null or wordless texts have no words and are not contaminated; null item
+texts and wordless items are no items; items with equal ids count once. Items without an
+id count like items of one more id: their windows are hit, n_items counts them as one,
+and the digest of the ids leaves them out.
 """
 
 from __future__ import annotations
@@ -207,12 +209,12 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 5_000_000, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings)."""
+    """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings; at the end null for items without one)."""
     row = F.struct(*carry)
     out = small_batches(docs).select(row.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     kind = f"row {docs.select(row.alias('row')).schema['row'].dataType.simpleString()}, text string, n_words long, spans {SPANS}, items array<string>"
     for group in item_groups(benchmark, most_words):
-        items = [(str(r.item_id), words_of(r.text)) for r in group.where(F.col("item_id").isNotNull()).collect()]
+        items = [(None if r.item_id is None else str(r.item_id), words_of(r.text)) for r in group.collect()]
 
         def run(batches, items=items):
             a = automaton(items, window)
@@ -223,7 +225,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most
                     s, i = a.spans(words)
                     n.append(len(words))
                     spans.append([{"a": x, "b": y} for x, y in merge([(x["a"], x["b"]) for x in old] + s)])
-                    found.append(sorted(i.union(was)))
+                    i = i.union(was)
+                    found.append(sorted(x for x in i if x is not None) + [None] * (None in i))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, kind)
