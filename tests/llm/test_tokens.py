@@ -155,3 +155,16 @@ def test_items_without_id_are_hit(spark):
     many = decontam.judge(decontam.find_spans(d, b, most_words=1)).orderBy("row.doc_id")
     assert [(r.n_hit, r.n_items, r.items_sha256) for r in many.collect()] == [(x[2], x[3], x[4]) for x in want]
     assert [r.doc_id for r in decontam.clean(d, b).collect()] == [4]
+
+
+def test_decoded_digest_comes_from_the_ids():
+    """A wrong id in the word cache shows in the digest of the decoded bytes."""
+    import hashlib
+
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "Hello there"
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    assert codec.digests([text, None])[2] == [sha, hashlib.sha256(b"").hexdigest()]
+    word = next(w for w in codec.words if "there" in w)
+    codec.words[word] = codec.texts(["wrong"])[0]
+    assert codec.digests([text])[2] != [sha]

@@ -159,25 +159,35 @@ class Codec:
                 self.words[w] = self.decimals[r]
             self.chars += len(w)
 
-    def texts(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
-        """For each text its ids as decimals with commas, and the bytes they decode to.
-
-        Words are decoded as they are learned; a text's words on end are what its ids give.
-        """
+    def texts(self, texts: list[str | None]) -> list[str]:
+        """For each text its ids as decimals with commas."""
         if len(self.words) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
             self.words, self.chars = {}, 0
         cut = [self.split(t) if t else [] for t in texts]
         if new := list({w for part in cut for w in part}.difference(self.words)):
             self.learn(new)
         get = self.words.__getitem__
-        return [(",".join(map(get, part)), "".join(part).encode()) for part in cut]
+        return [",".join(map(get, part)) for part in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.texts([text])[0][0].split(",") if x]
+        return [int(x) for x in self.texts([text])[0].split(",") if x]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
+    def decode_decimals(self, ids: str) -> bytes:
+        """The bytes of ids given as decimals with commas."""
+        return self.decode(map(int, ids.split(","))) if ids else b""
+
+    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+        """For each text the number of its ids, and digests of the ids and of the bytes these decode to."""
+        n, of_ids, of_bytes = [], [], []
+        for ids in self.texts(texts):
+            n.append(ids.count(",") + 1 if ids else 0)
+            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(self.decode_decimals(ids)).hexdigest())
+        return n, of_ids, of_bytes
+
 
 _codecs: dict[tuple, Codec] = {}
 
@@ -196,7 +206,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
         c = codec(rank_file, pattern)
         for batch in batches:
             for b in slices_of(batch, 1):
-                ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x, _ in c.texts(b.column(1).to_pylist())]
+                ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in c.texts(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -225,9 +235,7 @@ def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFra
         c = codec(rank_file, pattern)
         for batch in batches:
             for b in slices_of(batch, 1):
-                found = c.texts(b.column(1).to_pylist())
-                n = [ids.count(",") + 1 if ids else 0 for ids, _ in found]
-                sums = [[hashlib.sha256(x).hexdigest() for x in y] for y in ([ids.encode() for ids, _ in found], [data for _, data in found])]
+                n, *sums = c.digests(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in sums]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
