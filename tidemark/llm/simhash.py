@@ -5,17 +5,19 @@ a segment in which they differ by at most one bit. Each distinct fingerprint is
 indexed under every segment with one bit wild; fingerprints that meet under a key are
 candidates and the bits are counted to verify them.
 
-A key that holds over ``most`` distinct fingerprints (a cloud of near copies) isn't
-paired up. Its fingerprints go a way that is exact without pairs: each is filed under
-itself and its 64 neighbours at one bit, and all that meet at such a centre link to
-the smallest there. Any two at two bits or fewer share a centre and any two that share
-one are that close, so no component changes and rows stay linear.
+The hot-key path: a key that holds over ``most`` distinct fingerprints (a cloud of near
+copies) isn't paired up. Its fingerprints go a way that is exact without pairs: each is
+filed under itself and its 64 neighbours at one bit, and all that meet at such a centre
+(65 at most) link to the smallest there. Any two at two bits or fewer share a centre and
+any two that share one are that close, so no component changes and rows stay linear.
 
 Equal fingerprints are one node however many documents hold them.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any
 other; rows with a null doc_id are kept and take part, but name no component unless
-the component has no other id; repeated rows are kept.
+the component has no other id; repeated rows are kept; texts of any length are hashed
+whole, in chunks; an empty table gives no rows; other columns may have any name, only
+doc_id and text are read (one_of_each carries them in a struct).
 """
 
 from __future__ import annotations
@@ -84,9 +86,13 @@ def _centres():
 
 def links(fps: DataFrame, most: int = 32) -> DataFrame:
     """Edges (a, b), each of two bits or fewer, that connect all distinct ``fp`` which such links connect."""
-    entries = fps.select("fp").distinct().select("fp", F.explode(_keys()).alias("key")).select("fp", "key.slot", "key.value")
-    here = Window.partitionBy("slot", "value")
-    shared = materialise(entries.withColumn("n", F.count(F.lit(1)).over(here)).where("n > 1"), "simhash-keys")
+    # AQE would leave the few MB of distinct fingerprints to a task or two, and each makes 64 entries
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = materialise(fps.select("fp").distinct().repartition(n, "fp"), "simhash-distinct")
+    entries = distinct.select("fp", F.explode(_keys()).alias("key")).select("fp", "key.slot", "key.value")
+    # counted with partial sums and joined back, so a key that holds a large part of all rows is split
+    keys = materialise(entries.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
+    shared = materialise(entries.join(keys, ["slot", "value"]), "simhash-shared")
     few = shared.where(F.col("n") <= most).select("slot", "value", "fp")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["slot", "value"]).where((F.col("a") < F.col("b")) & close)
