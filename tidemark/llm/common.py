@@ -38,6 +38,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """``docs``, after bounding the rows of the batches that go to Python in this session:
     Spark's 10,000 whole texts at once are more than a worker needs to hold."""
