@@ -86,10 +86,10 @@ def _centres():
 
 def links(fps: DataFrame, most: int = 32) -> DataFrame:
     """Edges (a, b), each of two bits or fewer, that connect all distinct ``fp`` which such links connect."""
-    # AQE would leave the few MB of distinct fingerprints to a task or two, and each makes 64 entries
+    # a task or two would read the few MB of distinct fingerprints, and each makes 64 entries
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = materialise(fps.select("fp").distinct().repartition(n, "fp"), "simhash-distinct")
-    entries = distinct.select("fp", F.explode(_keys()).alias("key")).select("fp", "key.slot", "key.value")
+    distinct = materialise(fps.select("fp").distinct(), "simhash-distinct")
+    entries = distinct.repartition(n, "fp").select("fp", F.explode(_keys()).alias("key")).select("fp", "key.slot", "key.value")
     # counted with partial sums and joined back, so a key that holds a large part of all rows is split
     keys = materialise(entries.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
     shared = materialise(entries.join(keys, ["slot", "value"]), "simhash-shared")
