@@ -10,26 +10,34 @@ Words of a document that are no part of a run of word pairs known from the items
 can't be in a window of two or more words; a bit table of hashed pairs (no false
 negatives) skips them before the automaton.
 
-Benchmark size is checked: items are dealt into automata of at most ``most_words``
-words, and each automaton is one more pass over the documents, so the memory of a
-worker is bounded whatever the size of the benchmark.
+Items never come to the driver. They are written to the shared folder, dealt by hash of
+their text into groups of about ``most_words`` words, and a task reads one group and builds
+its automaton. One group takes one pass over the documents. More groups take one pass each,
+one after the other, that writes the rows with hits; a row's spans and items are then put
+together. So a worker holds one automaton at a time, of ``most_words`` words (an item is
+never cut: one longer than that is its group's size), whatever the size of the benchmark.
 
 Defined cases: null or wordless texts have no words and are not contaminated; null item
 texts and wordless items are no items; items with equal ids count once. Items without an
 id count like items of one more id: their windows are hit, n_items counts them as one,
-and the digest of the ids leaves them out.
+and the digest of the ids leaves them out. Documents with a null doc_id and repeated rows
+are judged like any other, each row by itself; texts of any length are streamed whole; an
+empty table gives no rows, an empty benchmark no hits; columns that are carried along may
+have any name.
 """
 
 from __future__ import annotations
 
-import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import filesystem, materialise, slices_of, small_batches, work_path
 
 WINDOW = 13
 #: Bytes outside of words become blanks; A-Z become a-z.
@@ -172,26 +180,30 @@ class Automaton:
                 out.append((a, b))
 
 
-_built: dict[str, Automaton] = {}
+_built: dict[tuple[str, int], Automaton] = {}
 
 
-def automaton(items: list[tuple[int, list[bytes]]], window: int) -> Automaton:
-    """One for each worker and list of items."""
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    if key not in _built:
+def automaton(path: str, window: int) -> Automaton:
+    """The automaton of a written group of items; a worker keeps the last one."""
+    if (path, window) not in _built:
         _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+        fs, root = filesystem(path)
+        rows = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["item", "text"]) if fs.get_file_info(root).type else None
+        items = [] if rows is None else sorted(((i, words_of(t)) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        _built[path, window] = Automaton(items, window)
+    return _built[path, window]
 
 
-def item_groups(benchmark: DataFrame, most_words: int) -> list[DataFrame]:
-    """The items dealt by hash into groups of about ``most_words`` words at most."""
-    sized = benchmark.select(F.col("item_id"), "text").where(F.col("text").isNotNull())
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (4 * most_words)))  # four characters a word or more
-    if n == 1:
-        return [sized]
-    return [sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
+def item_groups(benchmark: DataFrame, most_words: int) -> list[str]:
+    """Folders of the items (item, text), dealt by hash into groups of about ``most_words`` words."""
+    words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(words)).first()[0] or 0
+    n = max(1, -(-total // most_words))
+    folder = work_path(benchmark.sparkSession, "benchmark")
+    # a file for each group: a task writes the rows of its groups in turn
+    items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).repartition("part").write.partitionBy("part").parquet(folder)
+    return [f"{folder}/part={i}" for i in range(n)]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -208,40 +220,68 @@ SPANS = "array<struct<a:int,b:int>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 5_000_000, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings; at the end null for items without one)."""
-    row = F.struct(*carry)
-    out = small_batches(docs).select(row.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    kind = f"row {docs.select(row.alias('row')).schema['row'].dataType.simpleString()}, text string, n_words long, spans {SPANS}, items array<string>"
-    for group in item_groups(benchmark, most_words):
-        items = [(None if r.item_id is None else str(r.item_id), words_of(r.text)) for r in group.collect()]
-
-        def run(batches, items=items):
-            a = automaton(items, window)
-            for b in batches:
-                n, spans, found = [], [], []
-                for text, old, was in zip(b.column(1), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+def scan(rows: DataFrame, path: str, window: int, every: bool) -> DataFrame:
+    """n_words, spans and items for rows (row, text); only the rows with hits unless ``every``."""
+
+    def run(batches):
+        a = automaton(path, window)
+        for batch in batches:
+            for b in slices_of(batch, 1):
+                at, n, spans, found = [], [], [], []
+                for i, text in enumerate(b.column(1)):
                     words = words_of(text.as_py())
-                    s, i = a.spans(words)
-                    n.append(len(words))
-                    spans.append([{"a": x, "b": y} for x, y in merge([(x["a"], x["b"]) for x in old] + s)])
-                    i = i.union(was)
-                    found.append(sorted(x for x in i if x is not None) + [None] * (None in i))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+                    s, items = a.spans(words)
+                    if s or every:
+                        at.append(i)
+                        n.append(len(words))
+                        spans.append([{"a": x, "b": y} for x, y in s])
+                        found.append(sorted(x for x in items if x is not None) + [None] * (None in items))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
+
+    kind = StructType([rows.schema["row"], *StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields])
+    return rows.mapInArrow(run, kind)
+
+
+def united(hits: DataFrame) -> DataFrame:
+    """One row for each number of hits (row, spans, items) in several groups of items."""
+    lists = hits.groupBy(F.col("row").alias("number")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
-        out = out.mapInArrow(run, kind)
-    return out.drop("text")
+    def run(batches):
+        for b in batches:
+            spans = [[{"a": x, "b": y} for x, y in merge([(s["a"], s["b"]) for s in part])] for part in b.column(1).to_pylist()]
+            items = [sorted({x for x in part if x is not None}) + [None] * (None in part) for part in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["number", "spans", "items"])
+
+    return lists.mapInArrow(run, f"number long, spans {SPANS}, items array<string>")
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 500_000, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """row (a struct of the ``carry`` columns), n_words, spans (hit word ranges), items (ids, ascending as strings; at the end null for items without one)."""
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text")
+    groups = item_groups(benchmark, most_words)
+    if len(groups) == 1:
+        return scan(rows, groups[0], window, True)
+    kept = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "documents-to-scan")
+    numbered = kept.select(F.col("number").alias("row"), "text")
+    sized = materialise(scan(numbered, groups[0], window, True), "benchmark-hits")
+    hits = sized.where("size(spans) > 0")
+    for path in groups[1:]:
+        hits = hits.unionByName(materialise(scan(numbered, path, window, False), "benchmark-hits"))
+    found = materialise(united(hits.select("row", "spans", "items")), "benchmark-hits")
+    out = kept.select("number", "row").join(sized.select(F.col("row").alias("number"), "n_words"), "number").join(found, "number", "left")
+    return out.select("row", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def judge(found: DataFrame, least_share: float = 0.05) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated to what find_spans gives."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
-    every = round(1 / least_share)
+    share = Fraction(str(least_share))  # in whole numbers, so that nothing is rounded
+    enough = F.lit(share.denominator) * F.col("n_hit") >= F.lit(share.numerator) * F.col("n_words")
     return found.withColumn("n_hit", hit).select(
         "*",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.lit(every) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & enough).alias("contaminated"),
     )
 
 
