@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from tidemark.llm import registry, urlfilter
 
 
@@ -55,3 +57,55 @@ def test_blocks_reach_aliases_and_allows_hold(spark):
     ]
     got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), registry.URL_RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "block", 8: "block", 9: "allow", 10: "allow"}
+
+
+def test_a_long_list_of_rules(spark):
+    """100,000 rules as a table, hosts with many rules and pages in many folders."""
+    rng = np.random.default_rng(3)
+    host = lambda: ".".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 5))))
+    path = lambda: "/".join(rng.choice(["x", "yy", "z%", "", "Q_"], int(rng.integers(0, 5))))
+    rules = [(str(rng.choice(["allow", "block"])), f"{host()}/{path()}") for _ in range(3000)]
+    rows = [(i, f"{rng.choice(['http', 'https'])}://{host().upper() if i % 7 == 0 else host()}/{path()}{rng.choice(['', '?q=/x', '#f'])}", None) for i in range(400)]
+    more = [("block", f"site{i}.example/p{i % 97}/") for i in range(97_000)]
+    rows += [(1000 + i, f"http://www.site{i * 31}.example/p{i * 31 % 97}/a" if i % 2 else f"http://site{i}.example/q", None) for i in range(200)]
+    table = spark.createDataFrame([*rules, *more, (None, "a/"), ("block", None), rules[0]], "verdict string, rule string")
+    got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), table).collect()}
+    want = brute(rows[:400], rules)
+    want |= {i: w for i, w in brute(rows[400:], [r for r in more if int(r[1].split(".")[0][4:]) < 6300]).items()}
+    assert got == want and sum(w[2] is not None for w in want.values()) > 100
+    assert urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), table.where("false")).where("rule is null and verdict = 'allow'").count() == len(rows)
+
+
+def test_classes_of_pages_full_of_links(spark):
+    """Random redirect and canonical edges against components in plain Python."""
+    rng = np.random.default_rng(4)
+    urls = [f"http://h{i % 13}.{'com/en' if i % 17 == 0 else 'io'}/p/{i}" for i in range(160)]
+    rows, edges = [], []
+    for i, u in enumerate(urls):
+        html = ""
+        for j in rng.choice(160, int(rng.choice([0, 0, 1, 1, 2])), replace=False).tolist():
+            there = urls[j]
+            if i % 3 == 0:
+                html += f"<meta content='0;URL={there}#x' http-equiv=Refresh>"
+            else:
+                html += f"<p><link data-x rel=canonical href='{there}'>"
+            edges.append((u, there))
+        rows.append((i, u, html or None))
+    up = {u: u for u in urls}
+    for _ in range(160):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    own = brute(rows, registry.URL_RULES)
+    bad = {up[urls[i]] for i, w in own.items() if w[2] and w[3] == "block"}
+    want = {i: (*w[:3], w[3] if w[2] else "block" if up[urls[i]] in bad else "allow") for i, w in own.items()}
+    got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), registry.URL_RULES).collect()}
+    assert got == want and len({w[3] for w in want.values()}) == 2 and sum(w[3] == "block" for w in want.values()) > sum(w[3] == "block" for w in own.values())
+
+
+def test_targets_resolve(spark):
+    link = "<link rel=canonical href='{}'>".format
+    cases = [("a/b", "http://h/x/y", "h/x/a/b"), ("../b", "http://h/x/y/z?q", "h/x/b"), ("./b?c=../d", "http://h/x/", "h/x/b?c=../d"), ("../../../b/..", "http://h/x/y", "h/"), ("/a/./b/../c#f", "http://h", "h/a/c"), ("?k", "http://h/x/y", "h/x/y?k"), ("//o/p/../q", "http://h/x", "o/p/../q"), ("/..a/.b", "http://h", "h/..a/.b")]
+    rows = [(i, u, link(t)) for i, (t, u, _) in enumerate(cases)] + [(100, "http://h/x/y", "<base href='http://o/base/f?g'>" + link("z")), (101, "http://h/x/y", "<BASE target=_top HREF=/deep/er/>" + link("../z"))]
+    got = {r.a + " " + r.b for r in urlfilter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    path = lambda u: u.split("://")[1] if "/" in u.split("://")[1] else u.split("://")[1] + "/"
+    assert got == {path(u) + " " + w for _, u, w in cases} | {"h/x/y o/base/z", "h/x/y h/deep/z"}

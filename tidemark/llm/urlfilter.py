@@ -7,26 +7,34 @@ fragment. The links' connected components are the classes of aliases. A URL that
 rule fits is blocked if any URL of its class is blocked by a rule; an explicit allow
 keeps the URL it fits, whatever its aliases are.
 
-Only nodes with links go through the component rounds. A list of rules is an
-expression, so its length is checked.
+Rules are a table of any length. A URL's host and its parent domains meet the hosts of
+the rules by an equality join, which tells the lengths of the paths to try; these
+prefixes meet the rules by a second one. No URL meets rules that don't fit it, so work
+follows the URLs, not the list. Spark broadcasts the rules if they are below its own
+size bound, else both sides are shuffled. Only nodes with links go through the
+component rounds.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no
 rule, has no aliases and is allowed; a null html has no links; targets that are
-relative resolve against the page's URL; repeated rows get equal verdicts.
+relative resolve against the page's <base> or URL, with dot segments removed; repeated
+rows get equal verdicts; of rules of one length an allow wins, repeated rules count
+once, null rules are none; no rules, no pages or both give the same rows without a rule;
+urls and html of any length are taken whole; of the pages only page_id, url and html
+are read, other columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 from tidemark.llm.components import components
 
-MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+BASE = r"""(?i)<base\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
@@ -46,50 +54,73 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose segments "." and ".." are resolved."""
+    keep = lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    segments = F.split(path, "/")
+    done = F.aggregate(segments, F.array().cast("array<string>"), keep)
+    folder = F.element_at(segments, -1).isin(".", "..")
+    return F.when(F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)")), F.concat(F.array_join(done, "/"), F.when(folder, "/").otherwise(""))).otherwise(path)
+
+
 def resolved(target: Column, url: Column) -> Column:
     """An absolute URL for a link target of a page."""
     root = F.concat(F.lit("http://"), host_of(url))
     folder = F.regexp_replace(F.when(path_of(url) == "", "/").otherwise(path_of(url)), "[^/]*$", "")
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*$", 0)
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("?"), F.concat(root, path_of(url), target))
-        .otherwise(F.concat(root, folder, target))
+        .when(target.startswith("/"), F.concat(root, without_dots(path), rest))
+        .when(path == "", F.concat(root, path_of(url), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest))
     )
 
 
-def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """The longest fitting rule as a struct (size, rule, verdict), or null; equal lengths: allow wins."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
-    fits = []
-    for verdict, rule in rules:
-        h, _, p = rule.partition("/")
-        fit = ((host == h) | host.endswith("." + h)) & path.startswith("/" + p)
-        fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("size"), F.lit(int(verdict == "allow")).alias("allow"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array(*fits))
+def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """at (host), prefix (path), r (size, allow, rule, verdict) of rules (verdict, rule)."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "verdict string, rule string")
+    host = F.substring_index("rule", "/", 1)
+    path = F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 2)")
+    r = F.struct(F.length("rule").alias("size"), (F.col("verdict") == "allow").cast("int").alias("allow"), F.col("rule"), F.col("verdict"))
+    best = rules.where("rule is not null and verdict is not null").select(host.alias("at"), F.concat(F.lit("/"), path).alias("prefix"), r.alias("r"))
+    return materialise(best.groupBy("at", "prefix").agg(F.max("r").alias("r")), "url-rules")
+
+
+def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, r: the longest fitting rule of each host and path that has one."""
+    depth = F.size(F.split("host", r"\."))
+    parents = F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring_index("host", ".", n * -1))
+    tried = materialise(rules.groupBy("at").agg(F.collect_set(F.length("prefix")).alias("sizes")), "url-rule-sizes")
+    here = urls.where("host <> '' and path <> ''").select("host", "path", F.explode(F.array_distinct(parents)).alias("at"))
+    some = here.join(tried, "at").select("host", "path", "at", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    found = some.select("host", "path", "at", F.expr("substring(path, 1, n)").alias("prefix")).join(rules, ["at", "prefix"])
+    return materialise(found.groupBy("host", "path").agg(F.max("r").alias("r")), "url-verdicts")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's node and that of each target of its redirects and canonical links."""
     url = F.col("url")
+    base = F.replace(F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1), F.lit("&amp;"), F.lit("&"))
     tags = lambda tag, attr: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.replace(F.regexp_extract(t, attr, 1), F.lit("&amp;"), F.lit("&")))
     links = F.concat(tags(LINK, HREF), tags(REFRESH, TARGET))
     some = F.regexp_like("html", F.lit(r"(?i)canonical|http-equiv"))
-    out = pages.where(some).select(node_of(url).alias("a"), url, F.explode(links).alias("target")).where("a is not null and target <> ''")
-    return out.select("a", node_of(resolved(F.col("target"), url)).alias("b")).where("b is not null")
+    out = pages.where(some).select(node_of(url).alias("a"), url, base.alias("base"), F.explode(links).alias("target")).where("a is not null and target <> ''")
+    out = out.withColumn("base", F.when(F.col("base") == "", url).otherwise(resolved(F.col("base"), url)))
+    return out.select("a", node_of(resolved(F.col("target"), F.col("base"))).alias("b")).where("b is not null")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page."""
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page; ``rules``: (verdict, host/path)."""
     url = F.col("url")
+    rules = rule_table(pages.sparkSession, rules)
     own = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    own = own.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("r"))
-    classes = components(link_edges(pages))
     at = F.concat(F.lit("://"), F.col("node"))
-    marked = classes.select("node", "component", rule_for(host_of(at), path_of(at), rules)["verdict"].alias("v"))
+    classes = materialise(components(link_edges(pages)).select("node", "component", host_of(at).alias("host"), path_of(at).alias("path")), "url-classes")
+    best = fitting(own.select("host", "path").unionByName(classes.select("host", "path")), rules)
+    marked = classes.join(best.select("host", "path", F.col("r.verdict").alias("v")), ["host", "path"]).select("node", "component", "v")
     blocked = marked.where("v = 'block'").select("component").distinct()
-    aliases = materialise(marked.join(blocked, "component").select("node", F.lit(True).alias("blocked")), "blocked-aliases")
+    aliases = materialise(classes.join(materialise(blocked, "blocked-classes"), "component").select("node", F.lit(True).alias("blocked")), "blocked-aliases")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
-    return own.join(aliases, "node", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
+    return own.join(best, ["host", "path"], "left").join(aliases, "node", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
