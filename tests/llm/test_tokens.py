@@ -105,6 +105,42 @@ def test_bpe_columns(spark):
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_digests_see_wrong_word_ends(spark, monkeypatch):
+    """Ids cut at wrong places between words decode to other bytes, and the digest tells."""
+    path, text = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "zyxwvu qwrtpsdf hjklmnbv"
+    c = bpe.Codec(path, public_tokenizers.PATTERN)
+
+    def finished(ids):
+        of_word = [np.array(x, "<u4") for x in ids]
+        (out,) = bpe.digests(c, [1], np.array([len(of_word)]), np.arange(len(of_word)), of_word)
+        return out.column("decoded_sha256")[0].as_py()
+
+    right = hashlib.sha256(text.encode()).hexdigest()
+    assert finished(c.words(c.split(text))) == right
+    real = bpe.replay
+
+    def shifted(*args):
+        ids, ends = real(*args)
+        return ids, [max(0, e - 1) for e in ends]
+
+    monkeypatch.setattr(bpe, "replay", shifted)
+    assert finished(c.words(c.split(text))) != right
+
+
+def test_one_vocabulary_for_many_slices(spark, monkeypatch, sf_dir):
+    """Slices of a few texts, long texts and empty ones give what whole-text encoding gives."""
+    path, enc = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tiktoken_encoding()
+    texts = [r.text for r in registry.table(spark, sf_dir, "documents").select("text").limit(60).collect()] + ["", None, "tail " * 90_000]
+    for size in (1, 3000, 4_000_000):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        d = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, slice int").repartition(3)
+        got = {r.doc_id: tuple(r)[1:] for r in bpe.round_trip_digests(d, path, public_tokenizers.PATTERN).collect()}
+        for i, t in enumerate(texts):
+            want = enc.encode_ordinary(t or "")
+            assert got[i] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert len(got) == len(texts) and bpe.round_trip_digests(d.where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_contamination_on_small_alphabets(spark):
     rng = np.random.default_rng(2)
     say = lambda n: " ".join(rng.choice(["a", "B", "c", "é", "x1"], n))
@@ -158,13 +194,12 @@ def test_items_without_id_are_hit(spark):
 
 
 def test_decoded_digest_comes_from_the_ids():
-    """A wrong id in the word cache shows in the digest of the decoded bytes."""
-    import hashlib
-
+    """A wrong id of a word shows in the digest of the decoded bytes."""
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     text = "Hello there"
     sha = hashlib.sha256(text.encode()).hexdigest()
-    assert codec.digests([text, None])[2] == [sha, hashlib.sha256(b"").hexdigest()]
-    word = next(w for w in codec.words if "there" in w)
-    codec.words[word] = codec.texts(["wrong"])[0]
-    assert codec.digests([text])[2] != [sha]
+    of_word = [np.array(x, "<u4") for x in codec.words(codec.split(text))]
+    shas = lambda: next(bpe.digests(codec, [1, None], np.array([len(of_word), 0]), np.arange(len(of_word)), of_word)).column("decoded_sha256").to_pylist()
+    assert shas() == [sha, hashlib.sha256(b"").hexdigest()]
+    of_word[-1] = np.array(codec.encode("wrong"), "<u4")
+    assert shas()[0] != sha

@@ -1,28 +1,41 @@
-"""Byte-level BPE by merge replay over a vocabulary of words.
-
-The pre-tokenising pattern cuts texts into words. The distinct words of a task's
-rows form one flat array of symbols; an inverted index leads from each pair that
-can merge (by its merge rank) to the positions where it stands, and merges are
-applied in rank order to all words at once, updating only the two neighbours of
-each merged pair. Words are independent, so a corpus may be replayed in parts:
-each task replays the words it hasn't met, and no shuffle is needed.
-
-Defined cases: null and empty texts have no ids and decode to no bytes.
+"""Byte-level BPE by merge replay over the vocabulary of a corpus.
+
+The pre-tokenising pattern cuts texts into words, once. A task deals its texts into slices
+of about ``SLICE`` bytes and writes each as numbers into the slice's own list of distinct
+words. The distinct words of all lists are the vocabulary of the corpus. It is replayed in
+parts of at most ``PART`` words, each word of the corpus in one part: the words form one flat
+array of symbols, an inverted index leads from the pairs that can merge to the positions
+where they stand, and merges are applied in rank order to all words at once, updating only
+the two neighbours of each merged pair. Pairs that make the same token have the same rank
+and share an entry, for of them the leftmost goes first. The ids are joined to the lists, and
+a task that gets a slice's list back lays out the ids of its texts. Only lists of distinct
+words are shuffled, never texts or ids.
+
+Decoding starts from the ids alone.
+
+Defined cases: null and empty texts have no ids and decode to no bytes; rows with a null
+doc_id and repeated rows are encoded like any other, each row by itself; a longer text is a
+slice of its own, whole; an empty table gives no rows; pairs of one rank merge from the left;
+of the documents only the id and the text are read, other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import struct
+import uuid
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices_of, small_batches
+from tidemark.llm.common import filesystem, materialise, slices_of, small_batches, work_path
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -124,9 +137,9 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes], pai
 
 
 class Codec:
-    """Encodes and decodes; remembers the words it has met, up to a bound."""
+    """Ids of words and bytes of ids."""
 
-    MOST_WORDS, MOST_CHARS, MOST_PAIRS = 800_000, 16_000_000, 2_000_000
+    MOST_PAIRS = 2_000_000
 
     def __init__(self, rank_file: str, pattern: str):
         self.ranks = load_ranks(rank_file)
@@ -134,59 +147,24 @@ class Codec:
         for token, r in self.ranks.items():
             self.tokens[r] = token
         self.first = byte_pairs(self.ranks)
-        self.decimals = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
-        #: word: its ids as decimals with commas
-        self.words: dict[str, str] = {}
-        self.chars = 0
 
-    def learn(self, new: list[str]) -> None:
+    def words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word: its own if it is a token, else by replay of all such words at once."""
         if len(self.pairs) > self.MOST_PAIRS:
             self.pairs = {}
-        whole = [w.encode() for w in new]
-        rest = [i for i, w in enumerate(whole) if w not in self.ranks]
-        ids, ends = replay([whole[i] for i in rest], self.ranks, self.tokens, self.pairs, self.first)
-        if b"".join(map(self.tokens.__getitem__, ids)) != b"".join([whole[i] for i in rest]):
-            raise ValueError("the ids don't decode to their words")
-        decimals = list(map(self.decimals.__getitem__, ids))
-        at = 0
-        for i, end in zip(rest, ends, strict=True):
-            self.words[new[i]] = ",".join(decimals[at:end])
-            at = end
-        for w, data in zip(new, whole, strict=True):
-            if (r := self.ranks.get(data)) is not None:
-                self.words[w] = self.decimals[r]
-            self.chars += len(w)
-
-    def texts(self, texts: list[str | None]) -> list[str]:
-        """For each text its ids as decimals with commas."""
-        if len(self.words) > self.MOST_WORDS or self.chars > self.MOST_CHARS:
-            self.words, self.chars = {}, 0
-        cut = [self.split(t) if t else [] for t in texts]
-        if new := list({w for part in cut for w in part}.difference(self.words)):
-            self.learn(new)
-        get = self.words.__getitem__
-        return [",".join(map(get, part)) for part in cut]
+        whole = [w.encode() for w in words]
+        rest = [w for w in whole if w not in self.ranks]
+        ids, ends = replay(rest, self.ranks, self.tokens, self.pairs, self.first)
+        parts = (ids[a:b] for a, b in itertools.pairwise([0, *ends]))
+        return [[r] if (r := self.ranks.get(w)) is not None else next(parts) for w in whole]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.texts([text])[0].split(",") if x]
+        return list(itertools.chain.from_iterable(self.words(self.split(text)))) if text else []
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
-
-    def decode_decimals(self, ids: str) -> bytes:
-        """The bytes of ids given as decimals with commas."""
-        return self.decode(map(int, ids.split(","))) if ids else b""
-
-    def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
-        """For each text the number of its ids, and digests of the ids and of the bytes these decode to."""
-        n, of_ids, of_bytes = [], [], []
-        for ids in self.texts(texts):
-            n.append(ids.count(",") + 1 if ids else 0)
-            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-            of_bytes.append(hashlib.sha256(self.decode_decimals(ids)).hexdigest())
-        return n, of_ids, of_bytes
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -199,17 +177,144 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) of every whole text."""
+#: Bytes of text in a slice, and words that are replayed at once.
+SLICE, PART = 4_000_000, 200_000
+_NULL = -(1 << 63)
+
+
+def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str) -> DataFrame:
+    """slice, file, words: the distinct words of each slice, whose texts go to a file as numbers of words.
+
+    Slices are numbered by partition; files carry a name of their attempt, and only those
+    of tasks that succeeded are listed.
+    """
 
     def run(batches):
-        c = codec(rank_file, pattern)
+        split, (fs, root) = codec(rank_file, pattern).split, filesystem(folder)
+        pid, made = TaskContext.get().partitionId(), 0
+        ids: list = []
+        counts, numbers, size = [], [], 0
+        known: dict[str, int] = {}
+
+        def close():
+            nonlocal made, size
+            kind = "<u2" if len(known) <= 1 << 16 else "<u4"
+            name = f"{pid}-{made}-{uuid.uuid4().hex}"
+            head = np.array([len(ids), *(_NULL if i is None else i for i in ids), *(i is None for i in ids), *counts], "<i8")
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                for part in (head.tobytes(), np.array(numbers, kind).tobytes()):
+                    packed = pa.compress(part, codec="zstd", asbytes=True)
+                    f.write(struct.pack("<QQ", len(part), len(packed)) + packed)
+            out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | made], pa.int64()), pa.array([name]), pa.array([list(known)], pa.list_(pa.string()))], names=["slice", "file", "words"])
+            made, size = made + 1, 0
+            for x in (ids, counts, numbers, known):
+                x.clear()
+            return out
+
         for batch in batches:
             for b in slices_of(batch, 1):
-                ids = [np.fromstring(x, np.int32, sep=",") if x else np.empty(0, np.int32) for x in c.texts(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    text = text.as_py()
+                    if ids and size + len(text or "") > SLICE:
+                        yield close()
+                    words = split(text) if text else []
+                    for w in set(words).difference(known):
+                        known[w] = len(known)
+                    numbers += map(known.__getitem__, words)
+                    ids.append(doc_id)
+                    counts.append(len(words))
+                    size += len(text or "")
+        if ids:
+            yield close()
+
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    return docs.mapInArrow(run, "slice long, file string, words array<string>")
+
+
+def load(fs, path: str, n_words: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Ids, numbers of words and words' numbers of the texts of a slice."""
+    with fs.open_input_file(path) as f:
+        data = f.read()
+    parts, at = [], 0
+    while at < len(data):
+        whole, packed = struct.unpack_from("<QQ", data, at)
+        parts.append(pa.decompress(data[at + 16 : at + 16 + packed], decompressed_size=whole, codec="zstd", asbytes=True))
+        at += 16 + packed
+    head = np.frombuffer(parts[0], "<i8")
+    n = int(head[0])
+    ids = [None if none else i for i, none in zip(head[1 : n + 1].tolist(), head[n + 1 : 2 * n + 1].tolist(), strict=True)]
+    return ids, head[2 * n + 1 :], np.frombuffer(parts[1], "<u2" if n_words <= 1 << 16 else "<u4")
+
+
+def vocabulary(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """word, ids of every distinct word of the corpus."""
+
+    def run(batches):
+        c, held = codec(rank_file, pattern), []
+
+        def close():
+            out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(c.words(held), pa.list_(pa.int32()))], names=["word", "ids"])
+            held.clear()
+            return out
+
+        for b in batches:
+            held += b.column(0).to_pylist()
+            if len(held) >= PART:
+                yield close()
+        if held:
+            yield close()
+
+    return lists.select(F.explode("words").alias("word")).distinct().mapInArrow(run, "word string, ids array<int>")
+
+
+def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str) -> DataFrame:
+    """What ``finish(codec, doc_ids, ids of each text)`` makes of each slice of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    folder = work_path(spark, "word-numbers")
+    lists = materialise(slices(docs, rank_file, pattern, folder), "word-lists")
+    vocab = materialise(vocabulary(lists, rank_file, pattern), "vocabulary")
+    # each slice's head, then the ids of its words; a slice without a word has just the head
+    heads = lists.select("slice", F.lit(-1).alias("at"), "file", F.size("words").alias("n"), F.lit(None).cast("array<int>").alias("ids"))
+    words = lists.select("slice", F.posexplode("words").alias("at", "word")).join(vocab, "word")
+    rows = heads.unionByName(words.select("slice", "at", F.lit(None).cast("string").alias("file"), F.lit(0).alias("n"), "ids"))
+
+    def run(batches):
+        c, (fs, root) = codec(rank_file, pattern), filesystem(folder)
+        file, of_word, missing = None, [], 0
+
+        def close():
+            if missing:
+                raise ValueError(f"{missing} words of {file} have no ids")
+            return finish(c, *load(fs, f"{root}/{file}", len(of_word)), of_word)
+
+        for b in batches:
+            ids, ends = b.column(3).flatten().to_numpy(), (b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()).tolist()
+            for k, (at, name, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if at >= 0:
+                    of_word[at] = ids[ends[k] : ends[k + 1]]
+                    missing -= 1
+                    continue
+                if file is not None:
+                    yield from close()
+                file, of_word, missing = name, [None] * n, n
+        if file is not None:
+            yield from close()
+
+    return rows.repartition("slice").sortWithinPartitions("slice", "at").select("at", "file", "n", "ids").mapInArrow(run, schema)
+
+
+def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int) of every whole text."""
+
+    def finish(c, doc_ids, counts, numbers, of_word):
+        at = 0
+        for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
+            ids = [of_word[i] for i in numbers[at : at + n].tolist()]
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.concatenate(ids).astype(np.int32) if ids else []], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return encoded(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rank_file, pattern, finish, "doc_id long, ids array<int>")
 
 
 def decode_column(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -224,18 +329,26 @@ def decode_column(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+def digests(c: Codec, doc_ids: list, counts: np.ndarray, numbers: np.ndarray, of_word: list[np.ndarray]):
+    """doc_id, n_tokens and digests of the ids and of the bytes they decode to, of the texts of a slice."""
+    of_word = [x.tolist() for x in of_word]
+    decimals = [",".join(map(str, x)) for x in of_word]
+    n, of_ids, of_bytes, at = [], [], [], 0
+    for count in counts.tolist():
+        part = numbers[at : at + count].tolist()
+        at += count
+        ids = list(itertools.chain.from_iterable(map(of_word.__getitem__, part)))
+        n.append(len(ids))
+        of_ids.append(hashlib.sha256(",".join(map(decimals.__getitem__, part)).encode()).hexdigest())
+        of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
+    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (of_ids, of_bytes)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def round_trip_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded bytes.
 
-    doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
-    Only digests leave the task, whatever the length of a text.
+    doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of
+    the bytes of those ids). Only digests leave the task, whatever the length of a text.
     """
-
-    def run(batches):
-        c = codec(rank_file, pattern)
-        for batch in batches:
-            for b in slices_of(batch, 1):
-                n, *sums = c.digests(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in sums]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
+    return encoded(docs, rank_file, pattern, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
