@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with it; every other query gives rows."""
+"""Every query with SQL agrees with it; every other query gives named rows of one schema."""
 
 import pytest
 from compare import differences
@@ -16,9 +16,12 @@ def test_queries_agree_with_their_sql(spark, part):
     assert differences(spark, registry.QUERIES, registry.ORACLE_SQL, SMALL, SQL[part::4]) == {}
 
 
-@pytest.mark.parametrize("name", ROWS)
-def test_queries_without_sql_run(spark, name):
-    assert registry.QUERIES[name](spark, SMALL).count() >= 0
+#: Those that mine are held against plain versions in test_mined.py, where there is enough to mine.
+@pytest.mark.parametrize("name", sorted(set(ROWS) - {"beam_search_full_size", "leave_one_feature_out"}))
+def test_queries_without_sql_are_repeatable(spark, name):
+    first, second = (registry.QUERIES[name](spark, SMALL) for _ in range(2))
+    assert first.schema == second.schema and len(set(first.columns)) == len(first.columns)
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect()))
 
 
 def test_entry(spark):

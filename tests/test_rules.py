@@ -104,8 +104,21 @@ def test_unions_in_numpy_and_in_spark_agree(spark):
     assert there.held is None and here.union(sets) == there.union(sets)
     n = df.where(rules.set_column([some[1], some[2], some[3]]) & (F.col("split") == "train")).count()
     assert here.union(sets)[2]["train"]["n"] == n
-    best = selection.exhaustive(here, [rules.text(r) for r in some])
-    assert best == selection.exhaustive(there, [rules.text(r) for r in some]) and best[0]["score"] == max(b["score"] for b in best)
+    every = selection.SetGates(selection=(1, 0.0, 0.0, -99.0), final=(1, 0.0, 0.0, -99.0), forward=(0.0, 0.0, -99.0, 0.0, 999))
+    best = selection.exhaustive(here, [rules.text(r) for r in some], every)
+    assert best == selection.exhaustive(there, [rules.text(r) for r in some], every) and best[0]["score"] == max(b["score"] for b in best)
+    assert selection.exhaustive(here, [rules.text(r) for r in some]) == []  # the set search's own bounds are strict
+    months = sorted(r.month for r in df.select("month").distinct().collect())
+    ahead = [selection.Patterns(selection.by_months(rows, months), some, most=m) for m in (2, 200_000)]
+    more = [selection.exhaustive(here, [rules.text(r) for r in some], every, a) for a in ahead]
+    assert more[0] == more[1] and sorted(x["members"] for x in more[0]) == sorted(x["members"] for x in best)
+    for x in more[0]:
+        hit = rules.set_column([rules.parse(t) for t in x["members"]])
+        use = [r for r in df.where(hit).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("int")).alias("p"), F.avg("ret").alias("r")).collect() if r.n >= 5]
+        crash = sum(r.p < 0.3 or r.r < -1 for r in use) if use else len(months)
+        p, low, r = (np.mean([u.p for u in use]), min(u.p for u in use), np.mean([u.r for u in use])) if use else (0, 0, 0)
+        was = next(b["score"] for b in best if b["members"] == x["members"])
+        assert x["score"] == pytest.approx(was + 55 * p + 45 * low + 25 * r - 25 * crash)
     for x in selection.greedy_all(here, [rules.text(r) for r in some]):
         assert len(set(x["members"])) == len(x["members"])
 

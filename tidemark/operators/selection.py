@@ -9,6 +9,7 @@ steps run on the driver in numpy, else each step is one aggregation over the pat
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -83,29 +84,67 @@ def facts(v: dict[str, float] | None, whole: dict[str, float] | None) -> dict[st
     return {"n": n, "p": p, "lift": p / base if base else 0.0, "r": v.get("r", 0.0) / n if n else 0.0, "pf": v.get("gw", 0.0) / -v["gl"] if v.get("gl", 0.0) < 0 else 0.0, "loss": v.get("loss", 0.0) / n if n else 0.0, "share": n / whole["n"] if whole.get("n") else 0.0}
 
 
-def exhaustive(table: Patterns, names: list[str], sizes: tuple[int, ...] = (2, 3, 4), top: int = 16, least_new: int = 5, floors: dict[str, tuple[float, float, float]] | None = None, weights: tuple[float, float] = (8.0, 10.0)) -> list[dict]:
-    """All unions of 2 to 4 of the top rules in which each member adds rows, best first.
+@dataclass(frozen=True)
+class SetGates:
+    """Bounds of unions of rules: rows, precision, lift and mean return on two splits; mean and
+    least precision, mean return, share of passing months and crashes ahead."""
 
-    ``floors``: split to least rows, precision and mean return.
+    # The set search's own bounds and weights.
+    top: int = 16
+    sizes: tuple[int, ...] = (2, 3, 4)
+    least_new: int = 5
+    selection: tuple[int, float, float, float] = (50, 0.58, 1.1, 1.0)
+    final: tuple[int, float, float, float] = (50, 0.5, 1.0, 2.0)
+    forward: tuple[float, float, float, float, int] = (0.5, 0.35, 0.3, 0.65, 2)
+    weights: tuple[float, float] = (8.0, 10.0)
+    month: tuple[int, float, float, float] = (5, 0.38, 1.05, 0.0)
+    crash: tuple[float, float] = (0.3, -1.0)
+
+
+def by_months(rows: DataFrame, months: list[str]) -> DataFrame:
+    """Rows of some months, each month a split."""
+    return rows.where(F.col("month").isin(months)).withColumn("split", F.col("month"))
+
+
+def ahead_of(got: dict[str, dict], whole: dict[str, dict], gates: SetGates) -> dict[str, float]:
+    """How a union does over months: means and minima of those with enough rows, NaN without any."""
+    usable = [f for m in sorted(whole) if (f := facts(got.get(m), whole[m]))["n"] >= gates.month[0]]
+    good = [f for f in usable if f["p"] >= gates.month[1] and f["lift"] >= gates.month[2] and f["r"] >= gates.month[3]]
+    crash = [f for f in usable if f["p"] < gates.crash[0] or f["r"] < gates.crash[1]]
+    mean = lambda k: sum(f[k] for f in usable) / len(usable) if usable else math.nan
+    return {"p": mean("p"), "low": min((f["p"] for f in usable), default=math.nan), "r": mean("r"), "pass": len(good) / len(usable) if usable else 0.0, "crash": len(crash) if usable else len(whole) or 999}
+
+
+def exhaustive(table: Patterns, names: list[str], gates: SetGates = SetGates(), ahead: Patterns | None = None) -> list[dict]:
+    """All unions of 2 to 4 of the top rules that pass the gates and in which each member adds rows, best first.
+
+    ``ahead``: patterns of the same rules by month, for the gates and score terms on the
+    months ahead; without it these are left out. A mean that no month gives passes its gate.
     """
-    floors = floors or {"selection": (1, 0.0, -99.0), "final": (1, 0.0, -99.0)}
-    top = min(top, len(names))
-    sets = [s for k in sizes for s in combinations(range(top), k)]
+    top = min(gates.top, len(names))
+    sets = [s for k in gates.sizes for s in combinations(range(top), k)]
     prefixes = sorted({s[:k] for s in sets for k in range(1, len(s) + 1)})
     got = dict(zip(prefixes, table.union(prefixes), strict=True))
     whole = table.whole()
-    rows = lambda s: got[s].get("selection", {}).get("n", 0.0)
+    rows = lambda s: got[s].get("selection", {}).get("n", 0.0) if s else 0.0
+    grow = [s for s in sets if all(rows(s[: k + 1]) - rows(s[:k]) >= gates.least_new for k in range(len(s)))]
+    later, all_months = (dict(zip(grow, ahead.union(grow), strict=True)), ahead.whole()) if ahead else ({}, {})
     out = []
-    for s in sets:
-        if any(rows(s[: k + 1]) - rows(s[:k]) < least_new for k in range(1, len(s))):
-            continue
+    for s in grow:
         f = {x: facts(got[s].get(x), whole.get(x)) for x in SPLITS}
-        if any(f[x]["n"] < n or f[x]["p"] < p or f[x]["r"] < r for x, (n, p, r) in floors.items()):
-            continue
         a, b = f["selection"], f["final"]
-        score = 95 * a["p"] + 115 * b["p"] + 35 * a["r"] + 50 * b["r"] + weights[0] * math.log1p(a["n"]) + weights[1] * math.log1p(b["n"])
+        if not a["n"] or not b["n"] or any(x[k] < least for x, bounds in ((a, gates.selection), (b, gates.final)) for k, least in zip(("n", "p", "lift", "r"), bounds, strict=True)):
+            continue
+        # The weights of the set score.
+        score = 95 * a["p"] + 115 * b["p"] + 35 * a["r"] + 50 * b["r"] + gates.weights[0] * math.log1p(a["n"]) + gates.weights[1] * math.log1p(b["n"])
+        if ahead:
+            m = ahead_of(later[s], all_months, gates)
+            p, low, r, passing, crashes = gates.forward
+            if m["p"] < p or m["low"] < low or m["r"] < r or m["pass"] < passing or m["crash"] > crashes:
+                continue
+            score += 55 * search._z(m["p"]) + 45 * search._z(m["low"]) + 25 * search._z(m["r"]) - 25 * m["crash"]
         out.append({"kind": "exhaustive", "members": [names[i] for i in s], "score": score, "facts": f})
-    return sorted(out, key=lambda x: (-x["score"], x["members"]))
+    return sorted(out, key=lambda x: (-x["score"], -x["facts"]["final"]["r"], -x["facts"]["final"]["p"], -x["facts"]["final"]["n"], -x["facts"]["selection"]["p"], x["members"]))
 
 
 def _greedy(table: Patterns, names: list[str], kind: str, split: str, most: int, least_new: int, score, accept, target_share: float = 1.0) -> dict | None:
@@ -207,12 +246,17 @@ def portfolio(found: list[Found], size: int = 20, per_set: int = 3, per_family:
     return picked
 
 
-def avoid_score(n: float, good: float, class3: float, base: float) -> float:
-    """What an avoid rule is worth: it should pick class 0, and hardly any class 3."""
+# What each row of classes 1 to 3 takes off an avoid rule's worth, and the powers of its parts.
+CLASS_PENALTY = {1: 0.35, 2: 3.2, 3: 5.5}
+PRECISION_POWER, LIFT_POWER, WILSON_POWER, COVERAGE_POWER = 2.1, 1.0, 1.25, 1.25
+
+
+def avoid_score(n: float, good: float, penalty: float, base: float) -> float:
+    """What an avoid rule is worth: it should pick class 0, hardly any class 3 and few of the others."""
     if not n or not good or not base:
         return 0.0
     rate = good / n
-    return rate**2.1 * (rate / base) * max(lcb(good, n), 1e-9) ** 1.25 * math.log1p(good) ** 1.25 * math.log1p(n) * max(0.01, 1 - 5.5 * class3 / n)
+    return rate**PRECISION_POWER * (rate / base) ** LIFT_POWER * max(lcb(good, n), 1e-9) ** WILSON_POWER * math.log1p(good) ** COVERAGE_POWER * math.log1p(n) * max(0.01, 1 - penalty / n)
 
 
 def avoid_set(df: DataFrame, atoms: list[Atom], key: list[str], least: int = 15, beam: int = 60, depth: int = 2, most: int = 12, class3_share: float = 0.15, least_new: int = 3) -> list[tuple]:
@@ -222,7 +266,8 @@ def avoid_set(df: DataFrame, atoms: list[Atom], key: list[str], least: int = 15,
     under the cap; a rule without which no more class 0 is lost than class 3 is gained
     goes again. Returns (step, rule, rows, class0, class3, covered shares).
     """
-    rows = search.prepared(df, sorted({a.feature for a in atoms}), F.col("target_class") == 0, (F.col("target_class") == 3).cast("double"), key)
+    penalty = F.coalesce(*[F.when(F.col("target_class") == c, F.lit(p)) for c, p in CLASS_PENALTY.items()], F.lit(0.0))
+    rows = search.prepared(df, sorted({a.feature for a in atoms}), F.col("target_class") == 0, penalty, key)
     found: dict[Rule, float] = {}
     level: list[Rule] = [()]
     for _ in range(depth):
@@ -237,7 +282,7 @@ def avoid_set(df: DataFrame, atoms: list[Atom], key: list[str], least: int = 15,
     rules = sorted(found, key=lambda r: (-found[r], text(r)))[: 4 * beam]
     if not rules:
         return []
-    table = Patterns(rows, rules, {"n": F.lit(1.0), "y": F.col("y"), "r": F.col("r")})
+    table = Patterns(rows, rules, {"n": F.lit(1.0), "y": F.col("y"), "r": (F.col("r") == CLASS_PENALTY[3]).cast("double")})
     whole = table.whole().get("train", {"n": 0.0, "y": 0.0, "r": 0.0})
     zero = {"n": 0.0, "y": 0.0, "r": 0.0}
     held = lambda s: table.union([s])[0].get("train", zero) if s else zero

@@ -343,15 +343,18 @@ MINED = ["dist_to_ma20", "vol5", "body_ratio", "room_to_20d_high", "rebound_from
 #: Gates for the noisy driver panel: the miner's own suit daily share prices.
 LOOSE = search.Config(max_depth=3, beam_width=60, top_k=40, min_train_count=20, min_selection_count=5, min_train_precision=0.2, min_selection_precision=0.2, min_train_lift=1.0, min_selection_lift=1.0, min_selection_lcb=0.05, min_selection_avg_return=-2.0, beam_min_count=15, fast_min_selection_count=4, fast_min_selection_precision=0.2, fast_min_selection_lift=1.0, fast_min_selection_avg_return=-3.0, min_month_count=2, min_selection_usable_months=1, min_selection_pass_month_rate=0.0, min_selection_month_min_precision=0.0, min_selection_month_min_return=-9.0, max_selection_crash_months=99)
 
+#: As loose for unions of rules.
+LOOSE_SETS = selection.SetGates(selection=(10, 0.2, 1.0, -2.0), final=(5, 0.2, 0.5, -3.0), forward=(0.1, 0.0, -3.0, 0.0, 99))
+
 
 @contextmanager
-def mined(spark, sf_dir):
+def mined(spark, sf_dir, cfg=LOOSE):
     """Prepared rows, kept while they are read again for each depth, and the mined rules."""
     df = split_rows(spark, sf_dir)
     rows = search.prepared(df, MINED, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
     try:
         atoms = rules.make_atoms(rows.where("split = 'train'"), MINED, "decile")
-        yield rows, search.beam_search(rows, atoms, LOOSE)
+        yield rows, search.beam_search(rows, atoms, cfg)
     finally:
         rows.unpersist()
 
@@ -364,11 +367,22 @@ def beam_search(spark, sf_dir):
     return spark.createDataFrame(rows, "rank int, rule string, score double, train_n int, train_precision double, train_return double, selection_n int, selection_precision double, selection_return double, final_n int, final_precision double, final_return double")
 
 
+@query("beam_search_full_size")
+def beam_search_full_size(spark, sf_dir):
+    """Mining at the miner's own depth, beam and number of rules; the other queries take smaller ones."""
+    own = search.Config()
+    cfg = replace(LOOSE, max_depth=own.max_depth, beam_width=own.beam_width, top_k=own.top_k)
+    with mined(spark, sf_dir, cfg) as (_, found):
+        return spark.createDataFrame([(i, f.text, float(f.score), f.selection["n"], float(f.selection["precision"])) for i, f in enumerate(found, 1)], "rank int, rule string, score double, n int, precision double")
+
+
 @query("or_sets_exhaustive")
 def or_sets_exhaustive(spark, sf_dir):
     with mined(spark, sf_dir) as (rows, found):
-        table = selection.Patterns(rows, [f.rule for f in found[:10]])
-        return selection.sets_frame(spark, selection.exhaustive(table, [f.text for f in found[:10]]))
+        top = found[: selection.SetGates.top]
+        months = search.forward_months([r.month for r in rows.select("month").distinct().collect()])
+        table, ahead = (selection.Patterns(x, [f.rule for f in top]) for x in (rows, selection.by_months(rows, months)))
+        return selection.sets_frame(spark, selection.exhaustive(table, [f.text for f in top], LOOSE_SETS, ahead))
 
 
 @query("or_sets_greedy")
@@ -453,12 +467,10 @@ def feature_contribution(spark, sf_dir):
 
 @query("leave_one_feature_out")
 def leave_one_feature_out(spark, sf_dir):
-    """Mining again without each of four features."""
-    df = split_rows(spark, sf_dir)
-    few = MINED[:4]
-    rows = search.prepared(df, few, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
+    """Mining again without each feature."""
+    rows = search.prepared(split_rows(spark, sf_dir), MINED, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
     try:
-        out = refine.leave_one_out(rows, rules.make_atoms(rows.where("split = 'train'"), few, [0.1, 0.5, 0.9]), LOOSE)
+        out = refine.leave_one_out(rows, rules.make_atoms(rows.where("split = 'train'"), MINED, "decile"), LOOSE)
     finally:
         rows.unpersist()
     return spark.createDataFrame([(f, float(a), float(b), float(c_)) for f, a, b, c_ in out], "feature string, with_it double, without_it double, adds double")
@@ -477,7 +489,7 @@ def preset_search(spark, sf_dir):
     """The balanced preset: its features, the bounds that suit them, intervals and group limits."""
     names = config.features("balanced")
     df = split_rows(spark, sf_dir)
-    cfg = replace(LOOSE, max_depth=2, intervals=frozenset(config.INTERVALS), groups=config.group_of(), limits={"VOLATILITY": 2, "CANDLE": 2, "POSITION": 1})
+    cfg = replace(LOOSE, max_depth=2, intervals=frozenset(config.INTERVALS), groups=config.FEATURE_GROUPS, limits={"VOLATILITY": 2, "CANDLE": 2, "POSITION": 1})
     rows = search.prepared(df, names, F.col(Y), F.col("ret"), KEY, F.col("month")).persist()
     try:
         found = search.beam_search(rows, rules.make_atoms(rows.where("split = 'train'"), names, "v4", config.ops(names)), cfg)
