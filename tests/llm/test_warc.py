@@ -76,3 +76,45 @@ def test_members_without_lengths_and_damage(tmp_path):
     bad = warc.member(rows[0].replace(b"abcabc", b"abcabd", 1))
     with pytest.raises(ValueError):
         list(warc.WarcReader({"path": "x"}).records(pa.BufferReader(bad), len(bad)))
+
+
+def foreign(kind, body, *headers, http=b"HTTP/1.0 200 OK\r\ncontent-type: text/html\r\n\r\n", content="application/http;msgtype=response"):
+    block = http + body
+    lines = [f"WARC-Type:{kind}", "warc-record-id: <urn:uuid:1>", "WARC-DATE: 2020-01-01T00:00:00Z", *headers, f"CONTENT-LENGTH:  {len(block)}", f"Content-Type: {content}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_crawlers(spark, tmp_path):
+    import base64
+    import io
+
+    body = b"<html>" + b"text " * 30000 + b"\r\n\r\n</html>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    sha256 = base64.b32encode(hashlib.sha256(b"plain").digest()).decode().rstrip("=")
+    rows = [
+        foreign("warcinfo", b"software: x", http=b"", content="application/warc-fields"),
+        foreign("request", b"", http=b"GET / HTTP/1.0\r\n\r\n", content="application/http;msgtype=request"),
+        foreign("response", body, "WARC-Target-URI: http://a/x", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-IP-Address:\r\n 1.2.3.4"),
+        foreign("response", b"", "WARC-Target-URI:http://a/empty", "warc-payload-digest: md5:ABC"),
+        foreign("resource", b"plain", f"WARC-Payload-Digest: SHA-256:{sha256}", http=b"", content="text/plain"),
+        foreign("revisit", b"", "WARC-Refers-To: <urn:uuid:1>"),
+        foreign("response", b"no end of headers", http=b"", content="application/http"),
+    ]
+    packed = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=packed) as f:  # a member with a name
+        f.write(rows[2])
+    deep = tmp_path / "2020" / "seg"
+    deep.mkdir(parents=True)
+    (deep / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, rows[:2])) + packed.getvalue() + b"".join(map(gzip.compress, rows[3:])))
+    (tmp_path / "b.warc").write_bytes(b"".join(rows))
+    (tmp_path / "notes.txt").write_bytes(b"x")
+    for path in (str(tmp_path), str(tmp_path / "b.warc")):
+        df = warc.read_archive(spark, path)
+        times = 1 if path.endswith(".warc") else 2
+        assert df.count() == 7 * times
+        got = df.where("record_type = 'response'").orderBy("payload_bytes").collect()
+        assert [(r.target_uri, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got] == [w for w in [("http://a/empty", 0, "md5:abc", b""), (None, 17, None, b"no end of headers"), ("http://a/x", len(body), "sha1:" + sha1.lower(), body)] for _ in range(times)]
+        one = df.where("record_type = 'resource'").first()
+        assert bytes(one.payload) == b"plain" and one.payload_digest == hashlib.sha256(b"plain").hexdigest()
+        assert df.where("record_type = 'revisit' and payload_bytes is null").count() == times and df.where("payload_bytes > 1000").count() == times
+    assert warc.read_archive(spark, str(tmp_path / "2020" / "none")).count() == 0

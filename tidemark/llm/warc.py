@@ -6,11 +6,20 @@ subfield "sl" that the WARC standard's annex on compression describes, so a read
 can step over a record. A manifest names the files of the tasks that succeeded;
 files of lost attempts are not in it.
 
-Reading: one partition a file. The filters that Spark hands over on record_type,
-page_id, payload_bytes, payload_digest, refers_to and target_uri are applied to the
-headers, which are inflated first; the rest of a record that doesn't qualify, or whose
-payload isn't wanted, is never inflated. Members without "sl" are inflated to find
-their end.
+Reading: one partition a file: those of the manifest, else a single file or all *.warc.gz and
+*.warc below a folder, so that archives of other crawlers are read too. The filters that
+Spark hands over on record_type, page_id, payload_bytes, payload_digest, refers_to and
+target_uri are applied to the headers, which are inflated first; the rest of a record that
+doesn't qualify, or whose payload isn't wanted, is never inflated. Members without "sl"
+are inflated to find their end.
+
+Headers may be in any case, with or without a blank behind the colon, and folded. Digests
+are hex or base 32; a SHA-256 is returned as bare lower-case hex, others as "algorithm:value"
+in lower case. Of records that don't state their payload's size the HTTP header is
+inflated to tell it; it is unknown for revisits. The payload is what follows the HTTP
+header, or the whole block of a record that isn't HTTP, as it is stored (chunks and content
+encodings stay). Payloads of archives written here must fit their size and digest, else
+ValueError; crawlers differ in what they digest, so of other archives nothing is refused.
 
 Defined cases: a null html counts as empty; a null url gives no target URI; control
 characters in a URL are percent-encoded, so no header can be forged; a null page_id
@@ -21,6 +30,8 @@ an archive without files.
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
 import json
 import re
@@ -30,6 +41,7 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
@@ -148,6 +160,116 @@ def _accepts(f, row: dict) -> bool:
     return {EqualTo: v.__eq__, GreaterThan: v.__gt__, GreaterThanOrEqual: v.__ge__, LessThan: v.__lt__, LessThanOrEqual: v.__le__}[type(f)](f.value)
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Headers by their names in lower case; folded lines are joined."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def digest_of(value: str | None) -> str | None:
+    """A SHA-256 as bare lower-case hex, another digest as algorithm:value in lower case."""
+    if not value:
+        return None
+    algorithm, _, digest = value.strip().rpartition(":")
+    algorithm, digest = algorithm.lower().replace("-", ""), digest.strip()
+    if algorithm == "sha256":
+        if len(digest) != 64:
+            with contextlib.suppress(ValueError):
+                digest = base64.b32decode(digest.upper() + "=" * (-len(digest) % 8)).hex()
+        return digest.lower()
+    return f"{algorithm}:{digest}".lower() if algorithm else digest.lower()
+
+
+class Member:
+    """One record of a file: a gzip member, inflated no further than it is asked for, or plain bytes."""
+
+    STEP = 1 << 16
+
+    def __init__(self, f, size: int, at: int):
+        self.f, self.size, self.at, self.fed = f, size, at, at
+        start = f.read_at(min(4096, size - at), at)
+        self.inflate, self.length, self.data = None, 0, b""
+        if start[:3] == b"\x1f\x8b\x08":
+            body, flags = 10, start[3]
+            if flags & 4:
+                (extra,) = struct.unpack_from("<H", start, 10)
+                body, field = 12 + extra, 12
+                while field + 4 <= min(body, len(start)):  # subfields: two letters, length, data
+                    (n,) = struct.unpack_from("<H", start, field + 2)
+                    if start[field : field + 2] == b"sl" and n >= 4:
+                        (self.length,) = struct.unpack_from("<I", start, field + 4)
+                    field += 4 + n
+            for flag in (8, 16):  # a name and a comment end with a zero
+                if flags & flag:
+                    body = start.index(b"\0", body) + 1
+            body += 2 * bool(flags & 2)
+            self.inflate, self.fed = zlib.decompressobj(-15), at + body
+        elif start[:5] != b"WARC/":
+            raise ValueError(f"no record at {at}")
+
+    def more(self, most: int) -> bool:
+        """Read or inflate on, by about ``most`` bytes; False at the end."""
+        if self.inflate is None:
+            got = self.f.read_at(min(most, self.size - self.fed), self.fed)
+            self.fed += len(got)
+        else:
+            if self.inflate.eof:
+                return False
+            tail = self.inflate.unconsumed_tail
+            if not tail:
+                end = self.at + self.length if self.length else self.size
+                tail = self.f.read_at(max(0, min(self.STEP, end - self.fed)), self.fed)
+                self.fed += len(tail)
+            if not tail:
+                raise ValueError(f"the record at {self.at} is cut short")
+            got = self.inflate.decompress(tail, most)
+        self.data += got
+        return bool(got) or self.inflate is not None
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before the mark, which is taken off too; None if it isn't there within ``most`` bytes."""
+        seen = 0
+        while True:
+            found = self.data.find(mark, max(0, seen - len(mark)), most)
+            if found >= 0:
+                out, self.data = self.data[:found], self.data[found + len(mark) :]
+                return out
+            seen = len(self.data)
+            if (most is not None and seen >= most) or not self.more(1024):
+                return None
+
+    def take(self, n: int) -> bytes:
+        parts, left = [], n
+        while left > 0:
+            if not self.data and not self.more(max(self.STEP, min(left, 1 << 24))):
+                raise ValueError(f"the record at {self.at} is cut short")
+            parts.append(self.data[:left])
+            left -= len(parts[-1])
+            self.data = self.data[len(parts[-1]) :]
+        return b"".join(parts)
+
+    def end(self, plain: int) -> int:
+        """Where the next record starts; ``plain``: the length of this one, if it isn't packed."""
+        if self.inflate is None:
+            if self.at + plain - 4 > self.size:
+                raise ValueError(f"the record at {self.at} is cut short")
+            return self.at + plain
+        if self.length:
+            return self.at + self.length
+        while not self.inflate.eof:
+            self.data = b""
+            self.more(1 << 20)
+        return self.fed - len(self.inflate.unused_data) + 8
+
+
 class WarcReader(DataSourceReader):
     """Options: path; payload: "full", "digest" (inflate, check and drop) or "none"."""
 
@@ -166,15 +288,23 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(f"{root}/manifest.json") as f:
-            return [_File(x) for x in json.loads(f.read())["files"]] or [_File(None)]
+        here = fs.get_file_info(root)
+        if here.type == FileType.File:
+            return [_File(root)]
+        if fs.get_file_info(f"{root}/manifest.json").type == FileType.File:
+            with fs.open_input_stream(f"{root}/manifest.json") as f:
+                names = [f"{root}/{x}" for x in json.loads(f.read())["files"]]
+        else:
+            found = fs.get_file_info(FileSelector(root, recursive=True)) if here.type == FileType.Directory else []
+            names = sorted(x.path for x in found if x.type == FileType.File and x.base_name.endswith((".warc.gz", ".warc")))
+        return [_File(x) for x in names] or [_File(None)]
 
     def read(self, partition):
         if partition.name is None:
             return
-        fs, root = filesystem(self.path)
+        fs, _ = filesystem(self.path)
         rows, held = [], 0
-        with fs.open_input_file(f"{root}/{partition.name}") as f:
+        with fs.open_input_file(partition.name) as f:
             for row in self.records(f, f.size()):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 200
@@ -189,61 +319,43 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
     def records(self, f, size: int):
-        """Rows that pass; each record's headers are inflated before anything else of it."""
+        """Rows that pass; each record's headers are read before anything else of it."""
         at = 0
         while at < size:
-            start = f.read_at(min(4096, size - at), at)
-            if start[:3] != b"\x1f\x8b\x08":
-                raise ValueError(f"no gzip member at {at}")
-            body, length = 10, 0
-            if start[3] & 4:
-                (extra,) = struct.unpack_from("<H", start, 10)
-                body = 12 + extra
-                if start[12:14] == b"sl":
-                    (length,) = struct.unpack_from("<I", start, 16)
-            inflate = zlib.decompressobj(-15)
-            text, fed = inflate.decompress(start[body : length or None], 1024), len(start)
-            while b"\r\n\r\n" not in text:
-                more = inflate.unconsumed_tail
-                if not more and not inflate.eof:
-                    more = f.read_at(min(1 << 16, size - at - fed), at + fed)
-                    fed += len(more)
-                if not more:
-                    raise ValueError(f"no end of headers in the record at {at}")
-                text += inflate.decompress(more, 4096)
-            head, _, block = text.partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            source = Member(f, size, at)
+            head = source.until(b"\r\n\r\n")
+            if head is None:
+                raise ValueError(f"no end of headers in the record at {at}")
+            fields = fields_of(head)
+            kind, n = fields.get("warc-type"), int(fields.get("content-length", 0))
+            http = fields.get("content-type", "").lower().startswith("application/http")
+            own, left = "x-payload-bytes" in fields, n
+            if own:
+                payload_bytes = int(fields["x-payload-bytes"])
+            elif kind == "revisit":
+                payload_bytes = None
+            else:
+                front = source.until(b"\r\n\r\n", n) if http else b""
+                payload_bytes = left = max(0, n - len(front) - 4) if http and front is not None else n
             row = {
-                "page_id": page_of(fields["WARC-Record-ID"]),
-                "record_type": fields["WARC-Type"],
-                "target_uri": fields.get("WARC-Target-URI"),
-                "refers_to": page_of(fields.get("WARC-Refers-To")),
-                "payload_bytes": int(fields["X-Payload-Bytes"]) if "X-Payload-Bytes" in fields else None,
-                "payload_digest": fields.get("WARC-Payload-Digest", "").rpartition(":")[2] or None,
+                "page_id": page_of(fields.get("warc-record-id")),
+                "record_type": kind,
+                "target_uri": fields.get("warc-target-uri"),
+                "refers_to": page_of(fields.get("warc-refers-to")),
+                "payload_bytes": payload_bytes,
+                "payload_digest": digest_of(fields.get("warc-payload-digest")),
                 "payload": None,
             }
             passes = all(_accepts(x, row) for x in self.filters)
-            wanted = passes and self.payload != "none" and row["record_type"] == "response"
-            if wanted or not length:
-                parts, need = [block], int(fields["Content-Length"]) - len(block)
-                while need > 0 or (not length and not inflate.eof):
-                    more = inflate.unconsumed_tail
-                    if not more:
-                        n = (length - fed) if length else 1 << 16
-                        more = f.read_at(max(0, min(n, size - at - fed)), at + fed)
-                        fed += len(more)
-                    if not more:
-                        raise ValueError(f"the record at {at} is cut short")
-                    parts.append(inflate.decompress(more))
-                    need -= len(parts[-1])
-                if not length:
-                    length = fed - len(inflate.unused_data) + 8
-                if wanted:
-                    payload = b"".join(parts)[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
-                    if len(payload) != row["payload_bytes"] or hashlib.sha256(payload).hexdigest() != row["payload_digest"]:
-                        raise ValueError(f"the payload at {at} isn't what its headers say")
-                    row["payload"] = payload if self.payload == "full" else None
-            at += length
+            if passes and self.payload != "none" and kind in ("response", "resource", "conversion"):
+                if own and http:
+                    front = source.until(b"\r\n\r\n", n)
+                    left = n - len(front or b"") - 4
+                payload = source.take(left)
+                if own and (len(payload) != payload_bytes or hashlib.sha256(payload).hexdigest() != row["payload_digest"]):
+                    raise ValueError(f"the payload at {at} isn't what its headers say")
+                row["payload"] = payload if self.payload == "full" else None
+            at = source.end(len(head) + 4 + n + 4)
             if passes:
                 yield row
 
