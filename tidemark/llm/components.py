@@ -1,11 +1,13 @@
 """Connected components over an edge table, with DataFrame operations alone.
 
-Each round gives every node the smallest label that its neighbours' parents hold,
-hooks the node's own parent as well, and then replaces parents by grandparents, so
-paths shorten by half or more a round. A round is two joins and two aggregations
-with partial sums; both sides of each join are written tables, so a hub that holds
-a third of all edges is split by the skew join. Every round is written to the
-shared folder; nothing is collected but a count.
+Each node points at the smallest of its neighbours, if that is smaller than itself; one
+aggregation with partial sums gives the pointers. Pointers lead to ever smaller nodes,
+so they form trees, whose roots are found by replacing pointers by those of their
+targets: paths shorten by half a time. Then the edges are taken between roots, most
+fall within a tree and go, and the same is done with what is left; at least half of the
+nodes go each time. So all edges are joined once, and ever fewer after that. Both sides
+of each join are written tables, so a hub that holds a third of all edges is split by
+the skew join. Nothing is collected but a count.
 """
 
 from __future__ import annotations
@@ -16,23 +18,35 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise
 
 
+def rooted(pointers: DataFrame) -> DataFrame:
+    """(node, parent) with every pointer at the root of its tree."""
+    while True:
+        up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+        jumped = materialise(pointers.join(up, "parent").select("node", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")), "pointers")
+        pointers = jumped.select("node", "parent")
+        if not jumped.where("moved").limit(1).count():
+            return pointers
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 
     Nulls and loops are dropped, repeated edges count once; no edges give no rows.
     """
-    e = edges.where("a is not null and b is not null and a <> b")
-    e = materialise(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    p = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("parent")), "parents")
+    between = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = materialise(edges.where("a is not null and b is not null and a <> b").select(*between("a", "b")).distinct(), "edges")
+    levels = []
     while True:
-        seen = both.join(p.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("parent").alias("low"))
-        hook = p.join(seen, "node", "left").select("node", "parent", F.least("parent", "low").alias("low"))
-        offers = hook.select(F.explode(F.array(F.struct(F.col("node"), F.col("low")), F.struct(F.col("parent").alias("node"), F.col("low")))).alias("o")).select("o.*")
-        hooked = materialise(offers.groupBy("node").agg(F.min("low").alias("parent")), "hooked")
-        up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-        jumped = materialise(hooked.join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent")), "parents")
-        moved = p.withColumnRenamed("parent", "was").join(jumped, "node").where("was <> parent").limit(1).count()
-        p = jumped
-        if not moved:
-            return p.withColumnRenamed("parent", "component")
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pointers = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("parent")), "pointers")
+        levels.append(rooted(pointers))
+        of = lambda c: levels[-1].select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))  # noqa: B023, E731
+        half = materialise(e.join(of("a"), "a").select("a_root", "b"), "edges")
+        e = materialise(half.join(of("b"), "b").where("a_root <> b_root").select(*between("a_root", "b_root")).distinct(), "edges")
+        if not e.limit(1).count():
+            break
+    found = levels.pop().withColumnRenamed("parent", "component")
+    while levels:
+        last = found.select(F.col("node").alias("parent"), "component")
+        found = materialise(levels.pop().join(last, "parent", "left").select("node", F.coalesce("component", "parent").alias("component")), "components")
+    return found

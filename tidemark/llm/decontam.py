@@ -45,8 +45,13 @@ _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _TABLE = bytes(b if b in _KEPT else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+def blanked(text: str | None) -> bytes:
+    """The text in lower case with a blank for every byte outside of words."""
+    return text.encode().translate(_TABLE) if text else b""
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_TABLE).split() if text else []
+    return blanked(text).split()
 
 
 class Automaton:
