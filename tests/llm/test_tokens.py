@@ -111,7 +111,7 @@ def test_digests_see_wrong_word_ends(spark, monkeypatch):
     c = bpe.Codec(path, public_tokenizers.PATTERN)
 
     def finished(ids):
-        of_word = [np.array(x, "<u4") for x in ids]
+        of_word = ids
         (out,) = bpe.digests(c, [1], np.array([len(of_word)]), np.arange(len(of_word)), of_word)
         return out.column("decoded_sha256")[0].as_py()
 
@@ -131,8 +131,9 @@ def test_one_vocabulary_for_many_slices(spark, monkeypatch, sf_dir):
     """Slices of a few texts, long texts and empty ones give what whole-text encoding gives."""
     path, enc = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tiktoken_encoding()
     texts = [r.text for r in registry.table(spark, sf_dir, "documents").select("text").limit(60).collect()] + ["", None, "tail " * 90_000]
-    for size in (1, 3000, 4_000_000):
+    for size, bucket in ((1, 100_000), (3000, 20_000), (16_000_000, 64_000_000)):
         monkeypatch.setattr(bpe, "SLICE", size)
+        monkeypatch.setattr(bpe, "BUCKET", bucket)
         d = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, slice int").repartition(3)
         got = {r.doc_id: tuple(r)[1:] for r in bpe.round_trip_digests(d, path, public_tokenizers.PATTERN).collect()}
         for i, t in enumerate(texts):
@@ -198,8 +199,8 @@ def test_decoded_digest_comes_from_the_ids():
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     text = "Hello there"
     sha = hashlib.sha256(text.encode()).hexdigest()
-    of_word = [np.array(x, "<u4") for x in codec.words(codec.split(text))]
+    of_word = codec.words(codec.split(text))
     shas = lambda: next(bpe.digests(codec, [1, None], np.array([len(of_word), 0]), np.arange(len(of_word)), of_word)).column("decoded_sha256").to_pylist()
     assert shas() == [sha, hashlib.sha256(b"").hexdigest()]
-    of_word[-1] = np.array(codec.encode("wrong"), "<u4")
+    of_word[-1] = codec.encode("wrong")
     assert shas()[0] != sha

@@ -2,14 +2,16 @@
 
 The pre-tokenising pattern cuts texts into words, once. A task deals its texts into slices
 of about ``SLICE`` bytes and writes each as numbers into the slice's own list of distinct
-words. The distinct words of all lists are the vocabulary of the corpus. It is replayed in
-parts of at most ``PART`` words, each word of the corpus in one part: the words form one flat
-array of symbols, an inverted index leads from the pairs that can merge to the positions
-where they stand, and merges are applied in rank order to all words at once, updating only
-the two neighbours of each merged pair. Pairs that make the same token have the same rank
-and share an entry, for of them the leftmost goes first. The ids are joined to the lists, and
-a task that gets a slice's list back lays out the ids of its texts. Only lists of distinct
-words are shuffled, never texts or ids.
+words. These lists, dealt into buckets by hash of the word, are the vocabulary of the
+corpus: a bucket holds all that any slice has of its words, and there are so many buckets
+that one has about ``BUCKET`` bytes of text behind it. The distinct words of a bucket are
+replayed at once, each word of the corpus just once: they form one flat array of symbols, an
+inverted index leads from the pairs that can merge to the positions where they stand, and
+merges are applied in rank order to all words at once, updating only the two neighbours of
+each merged pair. Pairs that make the same token have the same rank and share an entry,
+for of them the leftmost goes first. The ids go back to the slices, whose tasks lay out
+the ids of the texts. Only lists of distinct words and their ids are shuffled, never
+texts.
 
 Decoding starts from the ids alone.
 
@@ -26,6 +28,7 @@ import hashlib
 import itertools
 import struct
 import uuid
+import zlib
 from heapq import heappop, heappush
 
 import numpy as np
@@ -177,17 +180,20 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-#: Bytes of text in a slice, and words that are replayed at once.
-SLICE, PART = 4_000_000, 200_000
+#: Bytes of text in a slice, and behind a bucket of words.
+SLICE, BUCKET = 16_000_000, 64_000_000
 _NULL = -(1 << 63)
 
 
-def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str) -> DataFrame:
-    """slice, file, words: the distinct words of each slice, whose texts go to a file as numbers of words.
+def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets: int) -> DataFrame:
+    """slice, file, bucket, base, words: the distinct words of each slice by bucket, numbered from base on.
 
-    Slices are numbered by partition; files carry a name of their attempt, and only those
-    of tasks that succeeded are listed.
+    The texts go to the file as numbers of words. Slices are numbered by partition; files
+    carry a name of their attempt, and only those of tasks that succeeded are listed. The
+    first row of a slice has bucket -1, the file's name and the number of words as base.
     """
+    names = ["slice", "file", "bucket", "base", "words"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
 
     def run(batches):
         split, (fs, root) = codec(rank_file, pattern).split, filesystem(folder)
@@ -198,18 +204,26 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str) -> DataFr
 
         def close():
             nonlocal made, size
-            kind = "<u2" if len(known) <= 1 << 16 else "<u4"
-            name = f"{pid}-{made}-{uuid.uuid4().hex}"
+            words = list(known)
+            of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            name, kind = f"{pid}-{made}-{uuid.uuid4().hex}", "<u2" if len(known) <= 1 << 16 else "<u4"
             head = np.array([len(ids), *(_NULL if i is None else i for i in ids), *(i is None for i in ids), *counts], "<i8")
             with fs.open_output_stream(f"{root}/{name}") as f:
-                for part in (head.tobytes(), np.array(numbers, kind).tobytes()):
+                for part in (head, place[np.array(numbers, np.int64)].astype(kind)):
+                    part = part.tobytes()
                     packed = pa.compress(part, codec="zstd", asbytes=True)
                     f.write(struct.pack("<QQ", len(part), len(packed)) + packed)
-            out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | made], pa.int64()), pa.array([name]), pa.array([list(known)], pa.list_(pa.string()))], names=["slice", "file", "words"])
+            rows = [(pid << 32 | made, name, -1, len(words), [])]
+            found, first = np.unique(of[order], return_index=True)
+            for bucket, (x, y) in zip(found.tolist(), itertools.pairwise([*first.tolist(), len(words)]), strict=True):
+                rows.append((pid << 32 | made, None, bucket, x, [words[i] for i in order[x:y].tolist()]))
             made, size = made + 1, 0
             for x in (ids, counts, numbers, known):
                 x.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for b in slices_of(batch, 1):
@@ -229,7 +243,7 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str) -> DataFr
 
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    return docs.mapInArrow(run, "slice long, file string, words array<string>")
+    return docs.mapInArrow(run, "slice long, file string, bucket int, base int, words array<string>")
 
 
 def load(fs, path: str, n_words: int) -> tuple[list, np.ndarray, np.ndarray]:
@@ -247,61 +261,78 @@ def load(fs, path: str, n_words: int) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, head[2 * n + 1 :], np.frombuffer(parts[1], "<u2" if n_words <= 1 << 16 else "<u4")
 
 
-def vocabulary(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """word, ids of every distinct word of the corpus."""
+def replayed(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """slice, base, sizes, ids of the lists of words: how many ids each word has, and these on end (32 bits each)."""
 
     def run(batches):
-        c, held = codec(rank_file, pattern), []
+        c = codec(rank_file, pattern)
+        now, rows, known = None, [], {}
 
         def close():
-            out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(c.words(held), pa.list_(pa.int32()))], names=["word", "ids"])
-            held.clear()
-            return out
+            ids = c.words(list(known))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, first = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+            out = ([], [], [], [])
+            for key, base, words in rows:
+                n = sizes[words]
+                at = np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                for x, v in zip(out, (key, base, n.astype("<u4").tobytes(), flat[at].astype("<u4").tobytes()), strict=True):
+                    x.append(v)
+            rows.clear()
+            known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "base", "sizes", "ids"])
 
         for b in batches:
-            held += b.column(0).to_pylist()
-            if len(held) >= PART:
-                yield close()
-        if held:
+            for bucket, key, base, words in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                if bucket != now and rows:
+                    yield close()
+                now = bucket
+                words = words.as_py()
+                for w in words:
+                    if w not in known:
+                        known[w] = len(known)
+                rows.append((key, base, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
+        if rows:
             yield close()
 
-    return lists.select(F.explode("words").alias("word")).distinct().mapInArrow(run, "word string, ids array<int>")
+    words = lists.where("bucket >= 0").select("bucket", "slice", "base", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return words.mapInArrow(run, "slice long, base int, sizes binary, ids binary")
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str) -> DataFrame:
-    """What ``finish(codec, doc_ids, ids of each text)`` makes of each slice of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    folder = work_path(spark, "word-numbers")
-    lists = materialise(slices(docs, rank_file, pattern, folder), "word-lists")
-    vocab = materialise(vocabulary(lists, rank_file, pattern), "vocabulary")
-    # each slice's head, then the ids of its words; a slice without a word has just the head
-    heads = lists.select("slice", F.lit(-1).alias("at"), "file", F.size("words").alias("n"), F.lit(None).cast("array<int>").alias("ids"))
-    words = lists.select("slice", F.posexplode("words").alias("at", "word")).join(vocab, "word")
-    rows = heads.unionByName(words.select("slice", "at", F.lit(None).cast("string").alias("file"), F.lit(0).alias("n"), "ids"))
+    """What ``finish(codec, doc_ids, counts of words, numbers of words, ids of each word)`` makes of each slice of docs (doc_id, text)."""
+    folder = work_path(docs.sparkSession, "word-numbers")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lists = materialise(slices(docs, rank_file, pattern, folder, max(1, -(-total // BUCKET))), "word-lists")
+    given = replayed(lists, rank_file, pattern).withColumns({"file": F.lit(None).cast("string"), "n": F.lit(0)})
+    none = F.lit(None).cast("binary")
+    heads = lists.where("bucket < 0").select("slice", F.lit(-1).alias("base"), none.alias("sizes"), none.alias("ids"), "file", F.col("base").alias("n"))
 
     def run(batches):
         c, (fs, root) = codec(rank_file, pattern), filesystem(folder)
-        file, of_word, missing = None, [], 0
+        file, n, sizes, ids = None, 0, [], []
 
         def close():
-            if missing:
-                raise ValueError(f"{missing} words of {file} have no ids")
-            return finish(c, *load(fs, f"{root}/{file}", len(of_word)), of_word)
+            counts = np.frombuffer(b"".join(sizes), "<u4")
+            if len(counts) != n:
+                raise ValueError(f"{len(counts)} of {n} words of {file} have ids")
+            flat, ends = np.frombuffer(b"".join(ids), "<u4").tolist(), np.cumsum(counts, dtype=np.int64).tolist()
+            return finish(c, *load(fs, f"{root}/{file}", n), [flat[a:b] for a, b in itertools.pairwise([0, *ends])])
 
         for b in batches:
-            ids, ends = b.column(3).flatten().to_numpy(), (b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()).tolist()
-            for k, (at, name, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
-                if at >= 0:
-                    of_word[at] = ids[ends[k] : ends[k + 1]]
-                    missing -= 1
+            for base, some, part, name, words in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+                if base >= 0:
+                    sizes.append(some)
+                    ids.append(part)
                     continue
                 if file is not None:
                     yield from close()
-                file, of_word, missing = name, [None] * n, n
+                file, n, sizes, ids = name, words, [], []
         if file is not None:
             yield from close()
 
-    return rows.repartition("slice").sortWithinPartitions("slice", "at").select("at", "file", "n", "ids").mapInArrow(run, schema)
+    rows = given.unionByName(heads).repartition("slice").sortWithinPartitions("slice", "base")
+    return rows.select("base", "sizes", "ids", "file", "n").mapInArrow(run, schema)
 
 
 def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,9 +341,9 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     def finish(c, doc_ids, counts, numbers, of_word):
         at = 0
         for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
-            ids = [of_word[i] for i in numbers[at : at + n].tolist()]
+            ids = list(itertools.chain.from_iterable(map(of_word.__getitem__, numbers[at : at + n].tolist())))
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.concatenate(ids).astype(np.int32) if ids else []], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return encoded(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rank_file, pattern, finish, "doc_id long, ids array<int>")
 
@@ -329,9 +360,8 @@ def decode_column(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(c: Codec, doc_ids: list, counts: np.ndarray, numbers: np.ndarray, of_word: list[np.ndarray]):
+def digests(c: Codec, doc_ids: list, counts: np.ndarray, numbers: np.ndarray, of_word: list[list[int]]):
     """doc_id, n_tokens and digests of the ids and of the bytes they decode to, of the texts of a slice."""
-    of_word = [x.tolist() for x in of_word]
     decimals = [",".join(map(str, x)) for x in of_word]
     n, of_ids, of_bytes, at = [], [], [], 0
     for count in counts.tolist():
