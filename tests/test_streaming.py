@@ -59,6 +59,21 @@ def test_store_applies_a_batch_once(spark, tmp_path):
     assert sorted((r.instrument, r.close) for r in store.read().collect()) == got
 
 
+def test_store_writes_touched_days_only(spark, tmp_path):
+    schema = "instrument string, session date, close double, delivered_at int"
+    store = jobs.BarStore(spark, str(tmp_path / "store"), schema)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(5)]
+    store.apply(spark.createDataFrame([(n, d, 1.0, 0) for n in "AB" for d in days], schema), 0)
+    store.apply(spark.createDataFrame([("A", days[3], 7.0, 1), ("C", dt.date(2024, 2, 1), 8.0, 1), ("D", None, 9.0, 1)], schema), 1)
+    written = sorted(p.name for p in (tmp_path / "store" / "v1").iterdir() if p.name.startswith("_day="))
+    assert written == ["_day=2024-01-04", "_day=2024-02-01", "_day=none"]
+    want = {(n, d): 1.0 for n in "AB" for d in days} | {("A", days[3]): 7.0, ("C", dt.date(2024, 2, 1)): 8.0, ("D", None): 9.0}
+    for _ in range(2):
+        assert {(r.instrument, r.session): r.close for r in store.read().collect()} == want and store.read().count() == len(want)
+        store.vacuum()
+    assert not (tmp_path / "store" / "m0").exists() and len([p for p in (tmp_path / "store" / "v0").iterdir() if p.name.startswith("_day=")]) == 4
+
+
 def test_smoothing_with_state(spark, tmp_path):
     rows = [("A", T0 + dt.timedelta(hours=i), float(i * i % 17) if i != 4 else None) for i in range(20)]
     schema = "instrument string, ts timestamp, close double"

@@ -35,31 +35,57 @@ def once(ticks: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
 
 
 class BarStore:
-    """Bars in Parquet, one folder a version; a batch of deliveries makes the next version.
+    """Bars in Parquet by day; a batch of deliveries writes anew the days that it touches.
 
-    A version is complete before the pointer file names it, and a batch that was applied
-    is skipped when it comes again, so a restarted stream changes nothing twice.
+    ``v<batch>`` holds the days of a batch, ``m<batch>`` the list of all days and the batch
+    that wrote each last. A list is complete before it counts, and a batch that was applied
+    is skipped when it comes again, so a restarted stream changes nothing twice. What a
+    batch costs follows the days it touches, not the store; the lists hold a row a day.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, day: str = "session"):
+        self.spark, self.path, self.schema, self.day = spark, path, schema, day
+
+    def _hadoop(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _versions(self) -> list[int]:
-        sc = self.spark.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        done = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return sorted(int(n[1:]) for n in done if n.startswith("v") and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
+        fs, path = self._hadoop()
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("m") and fs.exists(self._hadoop(f"{n}/_SUCCESS")[1]))
+
+    def _days(self) -> dict[str, int]:
+        """Day to the batch that wrote it last."""
         found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        return {r.day: r.batch for r in self.spark.read.schema("day string, batch long").json(f"{self.path}/m{found[-1]}").collect()} if found else {}
+
+    def read(self, days: set[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/v{v}/_day={d}" for d, v in self._days().items() if days is None or d in days]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def apply(self, delivered: DataFrame, batch_id: int, order: str = "delivered_at") -> None:
-        if batch_id not in self._versions():
-            upsert(self.read(), delivered, order).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        if batch_id in self._versions():
+            return
+        day = F.coalesce(F.col(self.day).cast("date").cast("string"), F.lit("none"))
+        touched = {r[0] for r in delivered.select(day).distinct().collect()}  # a row a day
+        rows = upsert(self.read(touched), delivered, order).withColumn("_day", day)
+        rows.write.mode("overwrite").partitionBy("_day").parquet(f"{self.path}/v{batch_id}")
+        now = self._days() | dict.fromkeys(touched, batch_id)
+        self.spark.createDataFrame(sorted(now.items()), "day string, batch long").coalesce(1).write.mode("overwrite").json(f"{self.path}/m{batch_id}")
+
+    def vacuum(self) -> None:
+        """Delete the days and lists that the newest list no longer names; not while others read them."""
+        versions, used = self._versions(), {f"v{v}/_day={d}" for d, v in self._days().items()}
+        for v in versions[:-1]:
+            fs, path = self._hadoop(f"m{v}")
+            fs.delete(path, True)
+        for v in versions:
+            fs, path = self._hadoop(f"v{v}")
+            for s in fs.listStatus(path) if fs.exists(path) else []:
+                name = s.getPath().getName()
+                if name.startswith("_day=") and f"v{v}/{name}" not in used:
+                    fs.delete(s.getPath(), True)
 
     def sink(self, order: str = "delivered_at"):
         """For writeStream.foreachBatch."""
