@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import discard, materialise
 
 
 def rooted(pointers: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def rooted(pointers: DataFrame) -> DataFrame:
     while True:
         up = pointers.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
         jumped = materialise(pointers.join(up, "parent").select("node", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")), "pointers")
+        discard(pointers)
         pointers = jumped.select("node", "parent")
         if not jumped.where("moved").limit(1).count():
             return pointers
@@ -42,7 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         levels.append(rooted(pointers))
         of = lambda c: levels[-1].select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))  # noqa: B023, E731
         half = materialise(e.join(of("a"), "a").select("a_root", "b"), "edges")
-        e = materialise(half.join(of("b"), "b").where("a_root <> b_root").select(*between("a_root", "b_root")).distinct(), "edges")
+        rest = materialise(half.join(of("b"), "b").where("a_root <> b_root").select(*between("a_root", "b_root")).distinct(), "edges")
+        discard(e, half)
+        e = rest
         if not e.limit(1).count():
             break
     found = levels.pop().withColumnRenamed("parent", "component")
