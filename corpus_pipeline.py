@@ -4,6 +4,13 @@ Language ID drops texts without a language, SimHash keeps one document of each g
 of near duplicates, decontamination drops documents with too much of a benchmark in
 them, the secret scan marks secrets out of the texts, and byte-level BPE encodes what
 is left and decodes it again.
+
+Defined cases: null and empty texts and those without letters have no language and go in
+the first stage; rows with a null doc_id are kept like others, the last of their group of
+near duplicates; repeated rows are near duplicates of each other, one stays; other columns
+are carried through all stages but the last, whatever their names; texts of any length are
+taken whole; an empty table gives no rows. The last stage returns digests of each text's
+token ids and of the bytes that they decode to.
 """
 
 from __future__ import annotations
