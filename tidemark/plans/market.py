@@ -309,11 +309,18 @@ def features_point_in_time(spark, sf_dir):
     return signal_rows(spark, sf_dir).select(*KEY, *_SHOWN)
 
 
-@query("features_with_smoothing")
+_ALL = [f for f in signals.FEATURES if f not in ("atr_pct", "bb_perc")]
+
+
+@query(
+    "features_with_smoothing",
+    f"""WITH {sql.SIGNALS},{sql.TRUE_RANGE}, atrs AS (SELECT instrument, session, close, {sql.fold('tr', 1 / 14)} AS atr14 FROM ranged)
+    SELECT s.instrument, s.today, s.idx, {', '.join(f's.{f}' for f in _ALL)}, s.bb AS bb_perc, {sql.rnd('a.atr14 / nullif(a.close, 0) * 100')} AS atr_pct FROM signals s JOIN atrs a USING (instrument, session)""",
+)
 def features_with_smoothing(spark, sf_dir):
     """All 21 features, the smoothed ones too."""
     df = signals.signal_table(bars(spark, sf_dir))
-    return df.select("instrument", "today", "idx", *signals.FEATURES)
+    return df.select("instrument", "today", "idx", *_ALL, c.rounded("bb_perc").alias("bb_perc"), c.rounded("atr_pct").alias("atr_pct"))
 
 
 _LABELS = ["day_to_5", "day_to_10", "day_to_15", "stop_day", *[f"{x}_{t}" for t in (10, 15) for x in ("target_before_stop", "stop_before_target", "target_stop_same_day", "no_target_no_stop", "fast_success", "slow_success", "fail_success")], "target_class"]
