@@ -15,7 +15,13 @@ vector that has links and edges of a spanning forest, never the pairs.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of different lengths don't link; a null vec_id takes part but
 names a class only if all its members' ids are null, and is kept only then; repeated
-rows are vectors of their own; an empty table gives no rows.
+rows are vectors of their own; an empty table gives no rows; only vec_id and embedding are
+read, other columns may have any name.
+
+What skipping saves depends on the data. A box is skipped if it lies eps away on the
+leading directions. At a cosine of 0.95 eps is 0.316, while vectors spread evenly over 64
+dimensions reach over about 0.8 on each direction: then nearly all blocks touch, and work
+grows with the square of the rows. Clustered or longer tables skip more.
 """
 
 from __future__ import annotations
