@@ -116,7 +116,7 @@ def test_digests_see_wrong_word_ends(spark, monkeypatch):
         return out.column("decoded_sha256")[0].as_py()
 
     right = hashlib.sha256(text.encode()).hexdigest()
-    assert finished(c.words(c.split(text))) == right
+    assert finished(c.words([w.encode() for w in c.split(text)])) == right
     real = bpe.replay
 
     def shifted(*args):
@@ -124,7 +124,15 @@ def test_digests_see_wrong_word_ends(spark, monkeypatch):
         return ids, [max(0, e - 1) for e in ends]
 
     monkeypatch.setattr(bpe, "replay", shifted)
-    assert finished(c.words(c.split(text))) != right
+    assert finished(c.words([w.encode() for w in c.split(text)])) != right
+
+
+def test_packing():
+    rng = np.random.default_rng(3)
+    for x in (np.empty(0, np.int64), rng.integers(-(1 << 62), 1 << 62, 100), np.arange(70000)):
+        assert bpe.unpacked(bpe.packed(x)).tolist() == x.tolist()
+    for w in ([], [b""], [b"a", b"", "é\n".encode(), b"x" * 70000]):
+        assert bpe.unpacked_words(bpe.packed_words(w)) == w
 
 
 def test_one_vocabulary_for_many_slices(spark, monkeypatch, sf_dir):
@@ -199,7 +207,7 @@ def test_decoded_digest_comes_from_the_ids():
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     text = "Hello there"
     sha = hashlib.sha256(text.encode()).hexdigest()
-    of_word = codec.words(codec.split(text))
+    of_word = codec.words([w.encode() for w in codec.split(text)])
     shas = lambda: next(bpe.digests(codec, [1, None], np.array([len(of_word), 0]), np.arange(len(of_word)), of_word)).column("decoded_sha256").to_pylist()
     assert shas() == [sha, hashlib.sha256(b"").hexdigest()]
     of_word[-1] = codec.encode("wrong")

@@ -153,18 +153,17 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, whole: list[bytes]) -> list[list[int]]:
         """The ids of each word: its own if it is a token, else by replay of all such words at once."""
         if len(self.pairs) > self.MOST_PAIRS:
             self.pairs = {}
-        whole = [w.encode() for w in words]
         rest = [w for w in whole if w not in self.ranks]
         ids, ends = replay(rest, self.ranks, self.tokens, self.pairs, self.first)
         parts = (ids[a:b] for a, b in itertools.pairwise([0, *ends]))
         return [[r] if (r := self.ranks.get(w)) is not None else next(parts) for w in whole]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(itertools.chain.from_iterable(self.words(self.split(text)))) if text else []
+        return list(itertools.chain.from_iterable(self.words([w.encode() for w in self.split(text)]))) if text else []
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -181,8 +180,31 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 
 #: Bytes of text in a slice, and behind a bucket of words.
-SLICE, BUCKET = 16_000_000, 64_000_000
-_NULL = -(1 << 63)
+SLICE, BUCKET = 8_000_000, 16_000_000
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, their low bytes first, then the next, and so on, compressed."""
+    planes = x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<Q", len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<Q", data)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    sizes, whole = packed(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)
+    return struct.pack("<QQ", len(sizes), len(whole)) + sizes + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    n, size = struct.unpack_from("<QQ", data)
+    ends = np.cumsum(unpacked(data[16 : 16 + n])).tolist()
+    whole = pa.decompress(data[16 + n :], decompressed_size=size, codec="zstd", asbytes=True)
+    return [whole[a:b] for a, b in itertools.pairwise([0, *ends])]
 
 
 def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets: int) -> DataFrame:
@@ -193,7 +215,7 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
     first row of a slice has bucket -1, the file's name and the number of words as base.
     """
     names = ["slice", "file", "bucket", "base", "words"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         split, (fs, root) = codec(rank_file, pattern).split, filesystem(folder)
@@ -204,22 +226,21 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
 
         def close():
             nonlocal made, size
-            words = list(known)
-            of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+            words = [w.encode() for w in known]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(of, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            name, kind = f"{pid}-{made}-{uuid.uuid4().hex}", "<u2" if len(known) <= 1 << 16 else "<u4"
-            head = np.array([len(ids), *(_NULL if i is None else i for i in ids), *(i is None for i in ids), *counts], "<i8")
+            name = f"{pid}-{made}-{uuid.uuid4().hex}"
+            # null ids stand as zero and are told by the second part
             with fs.open_output_stream(f"{root}/{name}") as f:
-                for part in (head, place[np.array(numbers, np.int64)].astype(kind)):
-                    part = part.tobytes()
-                    packed = pa.compress(part, codec="zstd", asbytes=True)
-                    f.write(struct.pack("<QQ", len(part), len(packed)) + packed)
-            rows = [(pid << 32 | made, name, -1, len(words), [])]
+                for part in ([i or 0 for i in ids], [i is None for i in ids], counts, place[np.array(numbers, np.int64)]):
+                    part = packed(np.array(part, np.int64))
+                    f.write(struct.pack("<Q", len(part)) + part)
+            rows = [(pid << 32 | made, name, -1, len(words), None)]
             found, first = np.unique(of[order], return_index=True)
             for bucket, (x, y) in zip(found.tolist(), itertools.pairwise([*first.tolist(), len(words)]), strict=True):
-                rows.append((pid << 32 | made, None, bucket, x, [words[i] for i in order[x:y].tolist()]))
+                rows.append((pid << 32 | made, None, bucket, x, packed_words([words[i] for i in order[x:y].tolist()])))
             made, size = made + 1, 0
             for x in (ids, counts, numbers, known):
                 x.clear()
@@ -243,26 +264,24 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
 
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    return docs.mapInArrow(run, "slice long, file string, bucket int, base int, words array<string>")
+    return docs.mapInArrow(run, "slice long, file string, bucket int, base int, words binary")
 
 
-def load(fs, path: str, n_words: int) -> tuple[list, np.ndarray, np.ndarray]:
+def load(fs, path: str) -> tuple[list, np.ndarray, np.ndarray]:
     """Ids, numbers of words and words' numbers of the texts of a slice."""
     with fs.open_input_file(path) as f:
         data = f.read()
     parts, at = [], 0
     while at < len(data):
-        whole, packed = struct.unpack_from("<QQ", data, at)
-        parts.append(pa.decompress(data[at + 16 : at + 16 + packed], decompressed_size=whole, codec="zstd", asbytes=True))
-        at += 16 + packed
-    head = np.frombuffer(parts[0], "<i8")
-    n = int(head[0])
-    ids = [None if none else i for i, none in zip(head[1 : n + 1].tolist(), head[n + 1 : 2 * n + 1].tolist(), strict=True)]
-    return ids, head[2 * n + 1 :], np.frombuffer(parts[1], "<u2" if n_words <= 1 << 16 else "<u4")
+        (n,) = struct.unpack_from("<Q", data, at)
+        parts.append(unpacked(data[at + 8 : at + 8 + n]))
+        at += 8 + n
+    ids, none, counts, numbers = parts
+    return [None if missing else i for i, missing in zip(ids.tolist(), none.tolist(), strict=True)], counts, numbers
 
 
 def replayed(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """slice, base, sizes, ids of the lists of words: how many ids each word has, and these on end (32 bits each)."""
+    """slice, base, sizes, ids of the lists of words: how many ids each word has, and these on end, packed."""
 
     def run(batches):
         c = codec(rank_file, pattern)
@@ -276,18 +295,18 @@ def replayed(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             for key, base, words in rows:
                 n = sizes[words]
                 at = np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                for x, v in zip(out, (key, base, n.astype("<u4").tobytes(), flat[at].astype("<u4").tobytes()), strict=True):
+                for x, v in zip(out, (key, base, packed(n), packed(flat[at])), strict=True):
                     x.append(v)
             rows.clear()
             known.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "base", "sizes", "ids"])
 
         for b in batches:
-            for bucket, key, base, words in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+            for bucket, key, base, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now and rows:
                     yield close()
                 now = bucket
-                words = words.as_py()
+                words = unpacked_words(words)
                 for w in words:
                     if w not in known:
                         known[w] = len(known)
@@ -313,11 +332,11 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str)
         file, n, sizes, ids = None, 0, [], []
 
         def close():
-            counts = np.frombuffer(b"".join(sizes), "<u4")
+            counts = np.concatenate([np.empty(0, np.int64), *map(unpacked, sizes)])
             if len(counts) != n:
                 raise ValueError(f"{len(counts)} of {n} words of {file} have ids")
-            flat, ends = np.frombuffer(b"".join(ids), "<u4").tolist(), np.cumsum(counts, dtype=np.int64).tolist()
-            return finish(c, *load(fs, f"{root}/{file}", n), [flat[a:b] for a, b in itertools.pairwise([0, *ends])])
+            flat, ends = list(itertools.chain.from_iterable(unpacked(x).tolist() for x in ids)), np.cumsum(counts).tolist()
+            return finish(c, *load(fs, f"{root}/{file}"), [flat[a:b] for a, b in itertools.pairwise([0, *ends])])
 
         for b in batches:
             for base, some, part, name, words in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
@@ -331,7 +350,9 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str)
         if file is not None:
             yield from close()
 
-    rows = given.unionByName(heads).repartition("slice").sortWithinPartitions("slice", "base")
+    # what a task reads from files is far more than what it is sent, so its share isn't to be coalesced
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = given.unionByName(heads).repartition(n, "slice").sortWithinPartitions("slice", "base")
     return rows.select("base", "sizes", "ids", "file", "n").mapInArrow(run, schema)
 
 
