@@ -180,7 +180,7 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 
 #: Bytes of text in a slice, and behind a bucket of words.
-SLICE, BUCKET = 8_000_000, 16_000_000
+SLICE, BUCKET = 8_000_000, 4_000_000
 
 
 def packed(x: np.ndarray) -> bytes:
