@@ -90,8 +90,7 @@ def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str]]) ->
 
 def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, r: the longest fitting rule of each host and path that has one."""
-    depth = F.size(F.split("host", r"\."))
-    parents = F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring_index("host", ".", n * -1))
+    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> substring_index(host, '.', -n))")
     tried = materialise(rules.groupBy("at").agg(F.collect_set(F.length("prefix")).alias("sizes")), "url-rule-sizes")
     here = urls.where("host <> '' and path <> ''").select("host", "path", F.explode(F.array_distinct(parents)).alias("at"))
     some = here.join(tried, "at").select("host", "path", "at", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
