@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontam, embeddup, langid, oracles, records, secrets, simhash, substrings, urlfilter, warc
+from tidemark.llm import bpe, common, conversations, decontam, embeddup, langid, oracles, packing, periods, records, secrets, simhash, substrings, urlfilter, warc
 
 WORD_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -67,6 +67,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.find(periods.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations"))).drop("initials")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
@@ -78,6 +91,9 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_packing": op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": oracles.WARC,
@@ -85,4 +101,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embeddings": oracles.EMBEDDINGS,
     "op9_secrets": oracles.SECRETS,
     "op10_decontamination": oracles.CONTAMINATION,
+    "op11_periodic_runs": oracles.PERIODS,
+    "op12_conversation_repair": oracles.REPAIR,
 }
