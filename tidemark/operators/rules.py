@@ -21,8 +21,8 @@ GRIDS = {
     "decile": [i / 10 for i in range(1, 10)],
     "v4": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.975],
     "fine": [0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.825, 0.85, 0.875, 0.9, 0.925, 0.95, 0.975],
-    "twenty": [round(0.02 + i * (0.96 / 19), 6) for i in range(20)],
-    "thirteen": [round(0.1 + i * (0.8 / 12), 6) for i in range(13)],
+    "twenty": [0.02 + i * (0.96 / 19) for i in range(20)],
+    "thirteen": [0.1 + i * (0.8 / 12) for i in range(13)],
 }
 OPS = (">=", "<=", ">", "==")
 
