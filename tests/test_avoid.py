@@ -95,6 +95,10 @@ def plain_miner(rows, literals, goal, sizes, groups, limits):
 
     def facts(mask):
         n, by = int(mask.sum()), [int((mask & (k == c)).sum()) for c in range(goal.classes)]
+        if isinstance(goal, H.BroadGoal):
+            rate, w = by[1] / n, max(0.0, lcb(by[1], n))
+            score = max(rate - base + 0.06, 0.001) * max(rate / base, 0.001) ** 0.6 * max(w, 0.001) * math.log1p(n) ** 1.8 * math.log1p(by[1]) ** 1.2
+            return dict(n=n, by=by, rate=rate, lift=rate / base, wilson=w, score=score, beam=(score, w, rate, rate / base, by[1], n), saved=(-score, -w, -rate, -by[1], -n))
         if goal.classes == 2:
             rate = by[1] / n
             score = rate * rate * math.log1p(n) * max(rate / base, 0.01)
@@ -106,11 +110,16 @@ def plain_miner(rows, literals, goal, sizes, groups, limits):
         return dict(n=n, by=by, rate=rate, lift=lift, wilson=w, c23=c2 + c3, score=score, beam=(score, w, rate, lift, by[0], n), saved=(-score, -w, -rate, -lift, c3, c2, -by[0], -n))
 
     def saves(f):
+        if isinstance(goal, H.BroadGoal):
+            return f["rate"] >= base + goal.rate_up and f["lift"] >= goal.least_lift and f["wilson"] >= goal.least_wilson
         if goal.classes == 2:
             return f["rate"] >= max(goal.least_rate, base * goal.least_lift)
         return f["rate"] >= goal.least_rate and f["lift"] >= goal.least_lift and f["wilson"] >= goal.least_wilson and f["c23"] <= goal.most_class23
 
     def extends(f, depth):
+        if isinstance(goal, H.BroadGoal):
+            at = min(depth, len(goal.rates_up) - 1)
+            return f["rate"] >= base + goal.rates_up[at] and f["lift"] >= goal.lifts[at]
         if goal.classes == 2:
             return f["rate"] >= min(max(base * (1.08 + 0.08 * depth), base + 0.04 + 0.04 * depth), max(goal.least_rate, base * goal.least_lift))
         at = min(depth, len(goal.rates) - 1)
@@ -130,7 +139,7 @@ def plain_miner(rows, literals, goal, sizes, groups, limits):
     return [(canonical(literals[i] for i in c), tuple(f["by"])) for _, _, c, f in sorted(saved, key=lambda x: x[:3])][: sizes.top]
 
 
-GOALS = [replace(H.StopGoal(), least_rate=0.3, least_lift=1.1), replace(H.NoBounceGoal(), least_rate=0.1, least_wilson=0.02, most_class23=0.95, rates=(0.12, 0.15, 0.2), lifts=(0.7, 0.9, 1.0))]
+GOALS = [replace(H.StopGoal(), least_rate=0.3, least_lift=1.1), replace(H.NoBounceGoal(), least_rate=0.1, least_wilson=0.02, most_class23=0.95, rates=(0.12, 0.15, 0.2), lifts=(0.7, 0.9, 1.0)), replace(H.BroadGoal(), least_wilson=0.2)]
 
 
 @pytest.mark.parametrize("goal", GOALS)
@@ -358,6 +367,67 @@ def test_choice_among_avoid_results():
     assert S.chosen_avoid([made("a", 0.01, 0.3, 0.9, 0.9), made("b", 0.02, 0.2, 0.95, 0.9)], options) == 0
 
 
+GOODS = [
+    S.GoodScenario("precise", 0.6, 0.5, 0.5, 0.2, 0.45, 0.4, 16.0, 0.45, 900.0, 150.0, 4.5, 300.0),
+    S.GoodScenario("wide", 0.0, 0.0, 0.85, 0.5, 0.2, 0.15, 10.0, 0.5, 1200.0, 20.0, 1.15, 0.0),
+]
+
+
+def plain_good(cands, train, valid, s, pool, max_rules):
+    """Both stages from masks; the best union on the way."""
+    (tm, ty), (vm, vy) = train, valid
+    base, tu, vu, chosen, best = vy.mean(), np.zeros(len(ty), bool), np.zeros(len(vy), bool), [], None
+    under = lambda r: (max(0.0, s.target - r) + 3 * max(0.0, s.floor - r)) * s.under_penalty if s.target else 0.0
+    for fill in (False, True):
+        while len(chosen) < max_rules and not (fill and (vu & (vy == 1)).sum() / vy.sum() >= s.cover):
+            found = []
+            for at, (i, stable) in enumerate(cands):
+                new = vm[i] & ~vu
+                n, hits = int(new.sum()), int((new & (vy == 1)).sum())
+                if i in chosen or n < pool.added[fill] or hits < pool.added_hits[fill] or hits / n < (s.added_fill if fill else s.added_primary):
+                    continue
+                u = vu | vm[i]
+                r, cov = (u & (vy == 1)).sum() / u.sum(), (u & (vy == 1)).sum() / vy.sum()
+                if r < (s.floor if s.target else max(0.0, base - 0.015)) or (fill and cov >= s.cover * 1.05):
+                    continue
+                score = hits * s.hit_w + n * s.row_w + cov * s.cover_w + r * s.rate_w + max(r - base, 0) * 250 + 0.15 * (tm[i] & ~tu & (ty == 1)).sum() - (n - hits) * s.miss_penalty + stable * 0.02 - under(r)
+                found.append((score, cov, r, hits, n, stable, -at, i))
+            if not found:
+                break
+            i = max(found)[-1]
+            chosen.append(i)
+            tu, vu = tu | tm[i], vu | vm[i]
+            n, hits = int(vu.sum()), int((vu & (vy == 1)).sum())
+            r, cov = hits / n, hits / vy.sum()
+            score = hits * s.hit_w + n * s.row_w + cov * s.cover_w + r * s.rate_w + max(r - base, 0) * 350 - (n - hits) * s.miss_penalty - under(r) + 15000 * (cov >= s.soft_cover) + 30000 * (cov >= s.cover)
+            if best is None or score > best[0]:
+                best = score, list(chosen)
+    return best[1] if best else []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_good_scenarios_equal_plain_versions(spark, seed):
+    rows, schema = panel(1000, 40 + seed)
+    rules = pool(random.Random(seed), 16)
+    cover = S.Coverage(spark.createDataFrame(rows, schema), rules, 2)
+    bounds = S.Pool(count=10, rate_up=-0.2, lift=0.6, wilson=0.02, added=(5, 3), added_hits=(2, 1))
+    cands = S.good_candidates(cover, [H.Mined(r, (1, 1), 5.0 + i) for i, r in enumerate(rules)], bounds)
+    train, valid = (masks_of(rules, rows, s) for s in ("train", "valid"))
+    assert len(cands) > 3
+    for s in GOODS:
+        got = S.good_scenario(cover, cands, s, bounds, 8)
+        assert got["members"] == plain_good(cands, train, valid, s, bounds, 8)
+        u = valid[0][got["members"]].any(0) if got["members"] else np.zeros(len(valid[1]), bool)
+        assert (got["valid"]["n"], got["valid"]["hits"]) == (int(u.sum()), int((u & (valid[1] == 1)).sum()))
+
+
+def test_choice_among_good_results():
+    made = lambda rate, n, cover, score: {"valid": {"rate": rate, "n": n, "coverage": cover}, "score": score}
+    assert S.chosen_good([]) is None
+    assert S.chosen_good([made(0.8, 600, 0.1, 1), made(0.79, 900, 0.2, 0), made(0.9, 400, 0.9, 9)]) == 1
+    assert S.chosen_good([made(0.7, 600, 0.1, 1), made(0.6, 900, 0.2, 5)]) == 1
+
+
 def test_scenario_tables():
     assert len({s.name for s in scenario_config.STOP_SCENARIOS}) == 15 and len({s.name for s in scenario_config.AVOID_SCENARIOS}) == 5
     assert [t.class23 for t in scenario_config.AVOID_TIERS] == sorted(t.class23 for t in scenario_config.AVOID_TIERS)
@@ -368,7 +438,7 @@ def test_scenario_tables():
 
 @pytest.fixture(scope="module")
 def halves(spark):
-    df = avoid.halves(spark, SF).select(*avoid.FEATURES, "weekday", avoid.STOP, "target_class", "split").toPandas()
+    df = avoid.halves(spark, SF).select(*avoid.FEATURES, "weekday", avoid.STOP, avoid.GOOD, "target_class", "split").toPandas()
     return df.where(df.notna(), np.nan)
 
 
@@ -392,14 +462,14 @@ def test_mined_rules_are_counted_right(spark, halves, name):
         assert (r.n, r.hits) == (int(m.sum()), int((m & hit).sum())) and r.rate == pytest.approx(r.hits / r.n) and r.n >= avoid.SIZES.least
 
 
-@pytest.mark.parametrize("name", ["stop_scenarios", "no_bounce_scenarios"])
+@pytest.mark.parametrize("name", ["stop_scenarios", "no_bounce_scenarios", "broad_scenarios"])
 def test_scenarios_are_counted_right(spark, halves, name):
     found = registry.QUERIES[name](spark, SF).collect()
     assert sum(r.taken for r in found) == 1 and any(r["size"] > 1 for r in found)
     for r in found:
         for split in ("train", "valid"):
             part = halves[halves.split == split]
-            hit = part[avoid.STOP].astype(bool) if name == "stop_scenarios" else part.target_class == 0
+            hit = part.target_class == 0 if name == "no_bounce_scenarios" else part[avoid.STOP if name == "stop_scenarios" else avoid.GOOD].astype(bool)
             m = np.zeros(len(part), bool)
             for rule in filter(None, r.rules.split(" || ")):
                 m |= picked(part, rule)

@@ -103,6 +103,43 @@ class NoBounceGoal:
     saved_order = (("score", True), ("wilson", True), ("rate", True), ("lift", True), ("c3", False), ("c2", False), ("hits", True), ("n", True))
 
 
+@dataclass(frozen=True)
+class BroadGoal:
+    """Wide rules that pick positives (class 1 of 2) a little more often than chance, to be joined."""
+
+    classes: int = 2
+    # Floors over the base rate and powers of the broad miner.
+    rate_up: float = 0.005
+    least_lift: float = 1.0
+    least_wilson: float = 0.3
+    rates_up: tuple[float, ...] = (-0.08, -0.04, -0.02)
+    lifts: tuple[float, ...] = (0.8, 0.88, 0.94)
+    margin: float = 0.06
+    powers: tuple[float, float, float, float, float] = (1.0, 0.6, 1.0, 1.8, 1.2)
+
+    def _base(self, whole: list[int]) -> float:
+        return whole[1] / sum(whole) if sum(whole) else 0.0
+
+    def scored(self, df: DataFrame, whole: list[int]) -> DataFrame:
+        base = self._base(whole)
+        df = df.withColumns({"rate": F.col("k1") / F.col("n"), "hits": F.col("k1"), "wilson": wilson(F.col("k1"), F.col("n"), empty=0.0, floor=True)})
+        df = df.withColumn("lift", F.col("rate") / base if base else F.lit(0.0))
+        up, lift, bound, size, cover = (F.lit(p) for p in self.powers)
+        least = lambda c: F.greatest(c, F.lit(0.001))
+        score = F.pow(least(F.col("rate") - base + self.margin), up) * F.pow(least(F.col("lift")), lift) * F.pow(least(F.col("wilson")), bound) * F.pow(F.log1p("n"), size) * F.pow(F.log1p("hits"), cover)
+        return df.withColumn("score", score if base else F.lit(0.0))
+
+    def saves(self, whole: list[int]) -> Column:
+        return (F.col("rate") >= self._base(whole) + self.rate_up) & (F.col("lift") >= self.least_lift) & (F.col("wilson") >= self.least_wilson)
+
+    def extends(self, whole: list[int], depth: int) -> Column:
+        at = min(depth, len(self.rates_up) - 1)
+        return (F.col("rate") >= self._base(whole) + self.rates_up[at]) & (F.col("lift") >= self.lifts[at])
+
+    beam_order = (("score", True), ("wilson", True), ("rate", True), ("lift", True), ("hits", True), ("n", True))
+    saved_order = (("score", True), ("wilson", True), ("rate", True), ("hits", True), ("n", True))
+
+
 @dataclass(frozen=True)
 class Mined:
     """A saved rule with its rows by class on the rows that it was mined on."""
@@ -279,7 +316,7 @@ def prepared(df: DataFrame, features: list[str], klass: Column, *more: Column |
     return df.select(*[number(c).cast("double").alias(c) for c in features], klass.cast("int").alias("k"), *more).where(F.col("k").isNotNull())
 
 
-def mine(rows: DataFrame, literals: list[Atom], goal: StopGoal | NoBounceGoal, sizes: Sizes = Sizes(), groups: dict[str, str] | None = None, limits: dict[str, int] | None = None) -> list[Mined]:
+def mine(rows: DataFrame, literals: list[Atom], goal: StopGoal | NoBounceGoal | BroadGoal, sizes: Sizes = Sizes(), groups: dict[str, str] | None = None, limits: dict[str, int] | None = None) -> list[Mined]:
     """The ``top`` saved rules, best first; ties go by the rules' literals.
 
     Differs from a heap per process in one way: a rule that two parents lead to is in the

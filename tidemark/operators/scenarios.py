@@ -569,3 +569,125 @@ def chosen_avoid(results: list[AvoidResult], options: list[AvoidScenario]) -> in
         if good := [i for i, r in enumerate(results) if fits(r)]:
             return max(good, key=lambda i: (quality(results[i].valid), -i))
     return None
+
+
+# -- rules that pick positives, joined for coverage --------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Pool:
+    """What a broad rule must reach on valid rows, and what a step must add there."""
+
+    # Fixed values; rows and positives that are added, in the primary stage and in the fill.
+    count: int = 80
+    rate_up: float = -0.005
+    lift: float = 0.985
+    wilson: float = 0.28
+    gap: float = 0.9
+    added: tuple[int, int] = (20, 10)
+    added_hits: tuple[int, int] = (8, 4)
+    slack: float = 0.015
+    beyond: float = 1.05
+
+
+@dataclass(frozen=True)
+class GoodScenario:
+    """Precision and coverage aimed at, the least precision of what a rule adds, and weights.
+    A target precision of 0 only asks for about the base rate."""
+
+    name: str
+    target: float
+    floor: float
+    cover: float
+    soft_cover: float
+    added_primary: float
+    added_fill: float
+    hit_w: float
+    row_w: float
+    cover_w: float
+    rate_w: float
+    miss_penalty: float
+    under_penalty: float
+
+
+def good_facts(v: np.ndarray, whole: np.ndarray) -> dict[str, float]:
+    """n, hits, rate, lift, coverage and Wilson bound of (false, true) rows."""
+    n, hits = int(v.sum()), int(v[1])
+    base = rate(int(whole.sum()), int(whole[1]))
+    r = rate(n, hits)
+    return {"n": n, "hits": hits, "rate": r, "lift": r / base if base else 0.0, "coverage": rate(int(whole[1]), hits), "wilson": max(0.0, lcb(hits, n)) if n else 0.0}
+
+
+def good_candidates(cover: Coverage, mined: list[Mined], pool: Pool = Pool()) -> list[tuple[int, float]]:
+    """(rule, stable score) of the mined rules that the pool lets in, in the order of mining."""
+    base = rate(int(cover.whole[VALID].sum()), int(cover.whole[VALID][1]))
+    out = []
+    for i, v in enumerate(cover.added([], list(range(len(cover.rules))))):
+        tr, va = (good_facts(v[k], cover.whole[k]) for k in (TRAIN, VALID))
+        gap = tr["rate"] - va["rate"]
+        if va["n"] >= pool.count and va["rate"] - base >= pool.rate_up and va["lift"] >= pool.lift and va["wilson"] >= pool.wilson and gap <= pool.gap:
+            # What a rate above the base, rows and a gap are worth.
+            out.append((i, mined[i].score * (1 + max(0.0, va["rate"] - base) * 5) * (1 + math.log1p(va["n"]) / 8) * (1 - min(max(0.0, gap), 0.85))))
+    return out
+
+
+def _under(s: GoodScenario, r: float) -> float:
+    return (max(0.0, s.target - r) + max(0.0, s.floor - r) * 3) * s.under_penalty if s.target > 0 else 0.0
+
+
+def good_score(m: dict, s: GoodScenario, base: float) -> float:
+    """What a union is worth. Bonuses for coverage and for 1,000, 3,000 and 8,000 rows."""
+    score = m["hits"] * s.hit_w + m["n"] * s.row_w + m["coverage"] * s.cover_w + m["rate"] * s.rate_w + max(m["rate"] - base, 0.0) * 350 - (m["n"] - m["hits"]) * s.miss_penalty - _under(s, m["rate"])
+    score += 15_000 * (m["coverage"] >= s.soft_cover) + 30_000 * (m["coverage"] >= s.cover)
+    return score + 5_000 * (m["n"] >= 1_000) + 10_000 * (m["n"] >= 3_000) + 20_000 * (m["n"] >= 8_000)
+
+
+def _good_key(s: GoodScenario, pool: Pool, v: np.ndarray, union: np.ndarray, whole: np.ndarray, base: float, stable: float, fill: bool) -> tuple | None:
+    n, hits = int(v[VALID].sum()), int(v[VALID][1])
+    if n < max(pool.added[fill], 1) or hits < pool.added_hits[fill] or hits / n < (s.added_fill if fill else s.added_primary):
+        return None
+    m = good_facts(union[VALID] + v[VALID], whole)
+    if m["rate"] < (s.floor if s.target > 0 else max(0.0, base - pool.slack)) or (fill and m["coverage"] >= s.cover * pool.beyond):
+        return None
+    # The weights of an addition that no scenario sets.
+    score = hits * s.hit_w + n * s.row_w + m["coverage"] * s.cover_w + m["rate"] * s.rate_w + max(m["rate"] - base, 0.0) * 250 + int(v[TRAIN][1]) * 0.15 - (n - hits) * s.miss_penalty + stable * 0.02 - _under(s, m["rate"])
+    return score, m["coverage"], m["rate"], hits, n, stable
+
+
+def good_scenario(cover: Coverage, candidates_: list[tuple[int, float]], s: GoodScenario, pool: Pool = Pool(), max_rules: int = 200) -> dict:
+    """Primary additions, then smaller ones until coverage is reached; the best union on the way is taken,
+    the earliest of equal ones. Of equal keys the candidate that comes first is added."""
+    whole = cover.whole[VALID]
+    base = rate(int(whole.sum()), int(whole[1]))
+    chosen: list[int] = []
+    union = np.zeros((2, cover.classes), np.int64)
+    best = (-math.inf, 0, union, "none")
+    for stage in ("primary", "fill"):
+        while len(chosen) < max_rules:
+            if stage == "fill" and good_facts(union[VALID], whole)["coverage"] >= s.cover:
+                break
+            options = [i for i in range(len(candidates_)) if i not in chosen]
+            found = cover.added([candidates_[i][0] for i in chosen], [candidates_[i][0] for i in options])
+            top = None
+            for i, v in zip(options, found, strict=True):
+                key = _good_key(s, pool, v, union, whole, base, candidates_[i][1], stage == "fill")
+                if key is not None and (top is None or key > top[0]):
+                    top = key, i, v
+            if top is None:
+                break
+            chosen.append(top[1])
+            union = union + top[2]
+            score = good_score(good_facts(union[VALID], whole), s, base)
+            if score > best[0]:
+                best = score, len(chosen), union, stage
+    score, size, union, stage = best
+    facts = [good_facts(union[k], cover.whole[k]) for k in (TRAIN, VALID)]
+    return {"name": s.name, "members": [candidates_[i][0] for i in chosen[:size]], "stage": stage, "score": score if size else -1e18, "train": facts[0], "valid": facts[1], "tried": len(chosen)}
+
+
+def chosen_good(results: list[dict], least: float = 0.78, rows: int = 500) -> int | None:
+    """The widest of the results that are precise enough on enough rows, else the one with the best score."""
+    if not results:
+        return None
+    precise = [i for i, r in enumerate(results) if r["valid"]["rate"] >= least and r["valid"]["n"] >= rows]
+    return max(precise, key=lambda i: (results[i]["valid"]["coverage"], -i)) if precise else max(range(len(results)), key=lambda i: (results[i]["score"], -i))

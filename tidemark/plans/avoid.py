@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
 from tidemark.operators import heapminer, metrics, rules, scenarios
-from tidemark.operators.heapminer import Grid, NoBounceGoal, Sizes, StopGoal
+from tidemark.operators.heapminer import BroadGoal, Grid, NoBounceGoal, Sizes, StopGoal
 from tidemark.operators.rules import text
-from tidemark.operators.scenarios import AvoidScenario, StopScenario, Tier, Valid
+from tidemark.operators.scenarios import AvoidScenario, Pool, StopScenario, Tier, Valid
 from tidemark.plans import scenario_config, sql
 from tidemark.plans.market import query, signal_rows
 
@@ -19,7 +19,7 @@ from tidemark.plans.market import query, signal_rows
 FEATURES = ["vol5", "rebound_from_7d_low", "dist_to_ma5", "tr_value_ratio_5d", "max_drop_7d", "upper_wick_ratio", "lower_wick_ratio", "vol15", "dist_to_ma20", "bb_perc", "gap_pct", "room_to_60d_high", "ma5_chg_rate", "pct_vs_lastweek", "atr_pct"]
 GROUPS = {"vol5": "VOLATILITY", "vol15": "VOLATILITY", "atr_pct": "VOLATILITY", "rebound_from_7d_low": "REBOUND", "dist_to_ma5": "POSITION", "dist_to_ma20": "POSITION", "tr_value_ratio_5d": "VOLUME", "max_drop_7d": "DROP", "upper_wick_ratio": "CANDLE", "lower_wick_ratio": "CANDLE", "bb_perc": "BAND", "gap_pct": "GAP", "room_to_60d_high": "HIGH_ROOM", "ma5_chg_rate": "TREND", "pct_vs_lastweek": "WEEK_POSITION"}
 LIMITS = {"VOLATILITY": 3, "POSITION": 2, "CANDLE": 2, "REBOUND": 1, "VOLUME": 1, "DROP": 1, "BAND": 1, "GAP": 1, "HIGH_ROOM": 1, "TREND": 1, "WEEK_POSITION": 1}
-STOP = "stop_before_target_10"
+STOP, GOOD = "stop_before_target_10", "target_before_stop_10"
 
 #: Features with SQL of their own; the weekday stands for those with few values.
 PLAIN = ["vol5", "rebound_from_7d_low", "dist_to_ma5", "tr_value_ratio_5d", "max_drop_7d", "dist_to_ma20", "gap_pct", "weekday"]
@@ -31,6 +31,8 @@ SIZES = Sizes(beam=150, top=300, least=40, depth=3)
 BOUNCE_SIZES = replace(SIZES, top=3000)
 LOOSE_STOP = StopGoal(least_rate=0.2, least_lift=1.04)
 LOOSE_BOUNCE = NoBounceGoal(least_rate=0.05, least_lift=1.1, least_wilson=0.02, most_class23=0.98, rates=(0.03, 0.04, 0.05), lifts=(0.8, 0.9, 1.0), penalties=(0.35, 0.5, 0.6))
+LOOSE_BROAD = BroadGoal(rate_up=0.0, least_wilson=0.02)
+LOOSE_POOL = Pool(count=15, wilson=0.02, added=(5, 3), added_hits=(2, 1))
 LOOSE_VALID = Valid(train_count=40, valid_count=10, train_rate=0.1, valid_rate=0.1, train_lift=1.02, valid_lift=1.0, gap=0.25)
 LOOSE_STOP_SCENARIOS = [
     StopScenario("strict", 8, 20, 4, 8, 2, 0.1, 0.1, 0.15, 0.1, 0.01),
@@ -89,10 +91,10 @@ def avoid_literals(spark, sf_dir):
 @contextmanager
 def mined(spark, sf_dir, goal, grid: Grid, sizes: Sizes = SIZES):
     """Rows of both splits, kept while they are read again, and the rules mined on train rows."""
-    stop = isinstance(goal, StopGoal)
     df = halves(spark, sf_dir)
     features = [*FEATURES, "weekday"]
-    rows = heapminer.prepared(df, features, metrics.flag(STOP) if stop else F.col("target_class"), "split").persist()
+    klass = F.col("target_class") if isinstance(goal, NoBounceGoal) else metrics.flag(STOP if isinstance(goal, StopGoal) else GOOD)
+    rows = heapminer.prepared(df, features, klass, "split").persist()
     try:
         train = rows.where("split = 'train'")
         found = heapminer.mine(train, heapminer.make_literals(train, features, grid), goal, sizes, GROUPS, LIMITS)
@@ -102,7 +104,7 @@ def mined(spark, sf_dir, goal, grid: Grid, sizes: Sizes = SIZES):
 
 
 def _mined_frame(spark, found, goal):
-    k = 1 if isinstance(goal, StopGoal) else 0
+    k = 0 if isinstance(goal, NoBounceGoal) else 1
     return spark.createDataFrame([(i, m.text, len(m.rule), sum(m.counts), m.counts[k], m.counts[k] / sum(m.counts), m.score) for i, m in enumerate(found, 1)], "rank int, rule string, size int, n long, hits long, rate double, score double")
 
 
@@ -149,3 +151,16 @@ def no_bounce_scenarios(spark, sf_dir):
     taken = scenarios.chosen_avoid(results, options)
     out = [(r.scenario, i == taken, len(r.members), " || ".join(names[m] for m in r.members), ",".join(s[0] for s in r.steps), float(r.score), *[float(x[k]) for x in (r.train, r.valid) for k in MIX]) for i, r in enumerate(results)]
     return spark.createDataFrame(out, "scenario string, taken boolean, size int, rules string, steps string, score double, " + ", ".join(f"{s}_{k} double" for s in ("train", "valid") for k in MIX))
+
+
+@query("broad_scenarios")
+def broad_scenarios(spark, sf_dir):
+    """Unions of wide good rules under six scenarios of precision and coverage, and the one that is taken."""
+    with mined(spark, sf_dir, LOOSE_BROAD, STOP_GRID) as (rows, found):
+        names = [m.text for m in found]
+        cover = scenarios.Coverage(rows, [m.rule for m in found], 2)
+        able = scenarios.good_candidates(cover, found, LOOSE_POOL)
+        results = [scenarios.good_scenario(cover, able, s, LOOSE_POOL, max_rules=30) for s in scenario_config.GOOD_SCENARIOS]
+    taken, facts = scenarios.chosen_good(results), ("n", "hits", "rate", "lift", "coverage")
+    out = [(r["name"], i == taken, len(r["members"]), r["stage"], " || ".join(names[m] for m in r["members"]), float(r["score"]), *[float(r[s][k]) for s in ("train", "valid") for k in facts]) for i, r in enumerate(results)]
+    return spark.createDataFrame(out, "scenario string, taken boolean, size int, stage string, rules string, score double, " + ", ".join(f"{s}_{k} double" for s in ("train", "valid") for k in facts))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.operators.scenarios import AvoidScenario, StopScenario, Tier
+from tidemark.operators.scenarios import AvoidScenario, GoodScenario, StopScenario, Tier
 
 # Name, most rules; rows and targets that a rule adds on train rows, then on valid rows; least rates of
 # what it adds on train and valid rows, widest gap between them; least rate of the union, its largest fall; objective.
@@ -43,3 +43,14 @@ AVOID_TIERS = [
     Tier("reach_low_class23_pool", 3, 0.25, 0.50, 0.02, 0.96, 0.32, 0.18, 0.42),
     Tier("diagnostic_pool", 3, 0.20, 0.42, 0.01, 0.98, 0.50, 0.34, 0.65),
 ]
+
+# Name; target and floor of precision; coverage aimed at, and soft; least precision of what a rule adds,
+# and in the fill; weights of hits, rows, coverage and precision; penalties of misses and of falling short.
+GOOD_SCENARIOS = [
+    GoodScenario("precision80_attempt", 0.80, 0.72, 0.20, 0.08, 0.70, 0.66, 18.0, 0.20, 500.0, 260.0, 7.0, 450.0),
+    GoodScenario("precision70_coverage", 0.70, 0.63, 0.45, 0.20, 0.62, 0.58, 16.0, 0.45, 900.0, 150.0, 4.5, 300.0),
+    GoodScenario("precision60_coverage", 0.60, 0.555, 0.65, 0.35, 0.54, 0.51, 14.0, 0.75, 1250.0, 90.0, 2.8, 200.0),
+    GoodScenario("precision55_mass", 0.55, 0.515, 0.80, 0.50, 0.50, 0.485, 12.0, 1.10, 1550.0, 55.0, 2.0, 120.0),
+    GoodScenario("max_profit_like", 0.0, 0.0, 0.85, 0.55, 0.44, 0.415, 10.0, 0.50, 1200.0, 20.0, 1.15, 0.0),
+    GoodScenario("max_recall_soft", 0.0, 0.0, 0.90, 0.65, 0.405, 0.395, 8.0, 1.40, 1800.0, 10.0, 0.85, 0.0),
+]
