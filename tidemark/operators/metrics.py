@@ -221,6 +221,16 @@ def spearman(df: DataFrame, names: list[str]) -> DataFrame:
     return s.select(*on, "n", F.try_divide(top, low).alias("rho"))
 
 
+def mode(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """The most frequent value of each group and its rows; the least of equally frequent ones.
+
+    Values are counted before they are compared, so no task holds a group's rows.
+    """
+    by = by or []
+    counted = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*by).agg(F.min_by(F.struct("value", "n"), F.struct(-F.col("n"), F.col("value"))).alias("_best")).select(*by, "_best.value", "_best.n")
+
+
 def timing(df: DataFrame, day: str, mask: Column) -> DataFrame:
     """How many reach the level on each day, and the share so far."""
     c = df.where((flag(mask) == 1) & (F.col(day) > 0)).groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.operators.search import Found, _z, lcb
 
 
@@ -135,3 +138,9 @@ TIERS = ((0.70, 0.10), (0.67, 0.08), (0.64, 0.06), (0.60, 0.04), (0.0, 0.0))
 def tier(rate: float, coverage: float) -> int:
     """The best of five nested tiers that a rate and a coverage reach."""
     return next(i for i, (r, c) in enumerate(TIERS) if rate >= r and coverage >= c)
+
+
+def joined_report(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, float]) -> DataFrame:
+    """All rows of a report with what another says of the same keys, and defaults where it says nothing."""
+    out = left.join(right.select(*keys, *defaults), keys, "left")
+    return out.select(*left.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])

@@ -12,7 +12,8 @@ import math
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 Order = list[tuple[str, bool]]
 
@@ -57,3 +58,9 @@ def top_k(df: DataFrame, k: int, order: Order) -> DataFrame:
         if n < parts:
             out = out.repartition(n).mapInArrow(run, df.schema)
     return out
+
+
+def head(df: DataFrame, k: int, by: list[str], order: list[Column], place: str = "place") -> DataFrame:
+    """The first ``k`` rows of each group with their place in it. Spark cuts groups down to ``k``
+    rows before it shuffles them, so that a hot group isn't gathered."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= k)
