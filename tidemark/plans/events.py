@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.operators import cleaning, rules
+from tidemark.functions import windows as w
+from tidemark.operators import cleaning, metrics, rules
 from tidemark.plans import sql
-from tidemark.plans.market import bars, query
-from tidemark.plans.rules import GOOD, rule
+from tidemark.plans.market import bars, query, signal_rows
+from tidemark.plans.rules import GOOD, Y, condition, mask, rule
 from tidemark.sources.tables import codes_in_names, normalised, table
-from tidemark.streaming import jobs
+from tidemark.streaming import corrections, jobs
 
 
 @query("events_tumbling", "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -94,9 +95,38 @@ def delivered_names(spark, sf_dir):
     return normalised(raw).select("instrument", "session", *[c.rounded(x, 8).alias(x) for x in ("open", "close", "volume")], "per")
 
 
-@query("rule_catalog")
+def _signature(name: str, text_: str) -> str:
+    found = rule(text_)
+    names = sorted({a.feature for a in found})
+    pairs = ",".join(f"{a}+{b}" for i, a in enumerate(names) for b in names[i + 1 :])
+    return f"SELECT '{name}' AS rule_id, '{rules.text(found)}' AS rule, '{'|'.join(sorted(a.feature + a.op for a in found))}' AS family, '{'|'.join(names)}' AS feature_set, '{pairs}' AS pairs, (SELECT count(*) FROM signals WHERE {condition(text_)}) AS n, (SELECT coalesce(sum(CAST({Y} AS INT)), 0) FROM signals WHERE {condition(text_)}) AS positives"
+
+
+@query("rule_catalog", f"WITH {sql.SIGNALS} " + " UNION ALL ".join(_signature(n, t) for n, t in GOOD.items()))
 def rule_catalog(spark, sf_dir):
-    """Rules as a table and back, with their signatures."""
-    frame = rules.to_frame(spark, [(n, rule(t), {"weight": 1.0}) for n, t in GOOD.items()])
+    """Rules with what they pick among the signals, as a table and back, with their signatures."""
+    counted = metrics.many_rules(signal_rows(spark, sf_dir), {n: mask(t) for n, t in GOOD.items()}, F.col(Y)).collect()  # a row a rule
+    facts = {r.rule: {"n": r.selected_count, "positives": r.positive_count} for r in counted}
+    frame = rules.to_frame(spark, [(n, rule(t), facts[n]) for n, t in GOOD.items()])
     again = rules.to_frame(spark, rules.from_frame(frame))
-    return rules.signatures(again).select("rule_id", "rule", "family", "feature_set", "pairs")
+    counts = [F.get_json_object("metrics", f"$.{k}").cast("double").cast("long").alias(k) for k in ("n", "positives")]
+    return rules.signatures(again).select("rule_id", "rule", "family", "feature_set", "pairs", *counts)
+
+
+@query(
+    "corrected_smoothing",
+    f"""WITH {sql.BARS}, numbered AS (SELECT *, row_number() OVER ({sql.W}) AS i FROM bars), fixed AS (SELECT instrument, session, CASE WHEN i % 40 = 7 THEN NULL WHEN i % 10 = 3 THEN close * 1.5 ELSE close END AS close FROM numbered)
+    SELECT instrument, session, round({sql.fold('close', 2 / 13)}, 6) AS ema FROM fixed""",
+)
+def corrected_smoothing(spark, sf_dir):
+    """A stream of bars, then of their corrections: the last level of each bar that comes out."""
+    return corrections.replayed(spark, *_deliveries(spark, sf_dir), 2 / 13).select("instrument", F.to_date("ts").alias("session"), c.rounded("ema", 6).alias("ema"))
+
+
+def _deliveries(spark, sf_dir):
+    """All bars, and later every tenth with another close and some without one."""
+    b = bars(spark, sf_dir).withColumn("i", F.row_number().over(w.by()))
+    first = b.select("instrument", F.col("session").cast("timestamp").alias("ts"), "close", F.lit(0).alias("delivered_at"), "i")
+    fixed = F.when(F.col("i") % 40 == 7, None).otherwise(F.col("close") * 1.5)
+    later = first.where("i % 10 = 3 OR i % 40 = 7").withColumns({"close": fixed, "delivered_at": F.lit(1)})
+    return first.drop("i"), later.drop("i")

@@ -188,10 +188,8 @@ _DI = [
 _simple("directional", smoothed, ["plus_di", "minus_di"], _DI, "dis", ["100 * sp / nullif(atr14, 0)", "100 * sm / nullif(atr14, 0)"], 4)
 
 
-@query("adx")
-def adx(spark, sf_dir):
-    """No SQL: a gap in DX changes the weight of the next value."""
-    return rounded(smoothed(bars(spark, sf_dir)), KEY, ["adx14"], 4)
+_DX = [*_DI, "dxs AS (SELECT *, 100 * abs(sp - sm) / nullif(sp + sm, 0) AS dx FROM dis)", f"adxs AS (SELECT *, {sql.gap_fold('dx', 1 / 14)} AS adx14 FROM dxs)"]
+_simple("adx", smoothed, ["adx14"], _DX, "adxs", digits=4)
 
 
 _BREADTH = f"""

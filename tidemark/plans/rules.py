@@ -149,14 +149,27 @@ def forward_eval(spark, sf_dir):
     return df.where(F.col("month").isin(search.forward_months(months))).select("rule", "month", "selected_count", c.rounded("precision", 6).alias("precision"), c.rounded("avg_return", 4).alias("avg_return"))
 
 
-@query("forward_summary")
+_OK, _PASS, _CRASH = "n >= 5", "p >= 0.38 AND l >= 1.05 AND r >= 0", "p < 0.3 OR r < -1"
+
+
+@query(
+    "forward_summary",
+    f"""WITH {sql.SIGNALS}, monthly AS ({_MONTHLY}), later AS (SELECT month, row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT month FROM signals)),
+    tail AS (SELECT month, i - 7 AS j, k - 6 AS k FROM later WHERE i > 6),
+    picked AS (SELECT month FROM tail WHERE j IN (SELECT CAST(round_even(s * (k - 1) / 5.0, 0) AS INT) FROM (SELECT max(k) AS k FROM tail), range(6) t(s)))
+    SELECT CASE rule {' '.join(f"WHEN '{n}' THEN '{rules.text(rule(t))}'" for n, t in GOOD.items())} END AS rule, sum(CAST({_OK} AS INT)) AS splits, sum(n) AS total,
+    round(avg(CASE WHEN {_OK} THEN p END), 6) AS mean_p, round(min(CASE WHEN {_OK} THEN p END), 6) AS min_p, round(avg(CASE WHEN {_OK} THEN r END), 4) AS mean_r, round(min(CASE WHEN {_OK} THEN r END), 4) AS min_r,
+    round(coalesce(sum(CAST(({_OK}) AND ({_PASS}) AS INT)) * 1.0 / nullif(sum(CAST({_OK} AS INT)), 0), 0), 6) AS pass_rate, coalesce(sum(CAST(({_OK}) AND ({_CRASH}) AS INT)), 0) AS crash
+    FROM monthly WHERE month IN (SELECT month FROM picked) GROUP BY monthly.rule""",
+)
 def forward_summary(spark, sf_dir):
     """Fixed rules on chosen later months, scored where the rows are."""
     df = signal_rows(spark, sf_dir).withColumn("split", F.lit("all"))
     parsed = [rule(t) for t in GOOD.values()]
     rows = search.prepared(df, sorted({a.feature for r in parsed for a in r}), F.col(Y), F.col("ret"), KEY, F.col("month"))
     months = [r.month for r in df.select("month").distinct().collect()]
-    return spark.createDataFrame([tuple(x.values()) for x in search.forward_summary(rows, parsed, search.forward_months(months))], "rule string, splits int, total int, mean_p double, min_p double, mean_r double, min_r double, pass_rate double, crash int")
+    out = spark.createDataFrame([tuple(x.values()) for x in search.forward_summary(rows, parsed, search.forward_months(months))], "rule string, splits int, total int, mean_p double, min_p double, mean_r double, min_r double, pass_rate double, crash int")
+    return out.select("rule", "splits", "total", *[c.rounded(c.finite(x), n).alias(x) for x, n in (("mean_p", 6), ("min_p", 6), ("mean_r", 4), ("min_r", 4))], c.rounded("pass_rate", 6).alias("pass_rate"), "crash")
 
 
 @query(
@@ -213,10 +226,11 @@ def class_mix(spark, sf_dir):
     return rounded(out, ["month", "n"], [x for i in range(4) for x in (f"class{i}_rate", f"loss{i}_rate")] + ["class23_rate", "coverage", "wilson_low"], 6)
 
 
-@query("wilson_table", f"SELECT p::BIGINT AS p, n::BIGINT AS n, round({sql.wilson('p', 'n')}, 6) AS z196, round({sql.wilson('p', 'n', 1.64)}, 6) AS z164 FROM range(1, 60) a(n), range(0, 60) b(p) WHERE p <= n")
+@query("wilson_table", f"WITH {sql.SIGNALS}, m AS (SELECT month, count(*) AS n, sum(CAST({Y} AS INT)) AS p FROM signals GROUP BY month) SELECT month, n, p, round({sql.wilson('p', 'n')}, 6) AS z196, round({sql.wilson('p', 'n', 1.64)}, 6) AS z164 FROM m")
 def wilson_table(spark, sf_dir):
-    grid = spark.range(1, 60).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id"))).alias("p"))
-    return grid.select("p", "n", c.rounded(metrics.wilson(F.col("p"), F.col("n")), 6).alias("z196"), c.rounded(metrics.wilson(F.col("p"), F.col("n"), 1.64), 6).alias("z164"))
+    """Bounds of each month's rate of positives, at two levels."""
+    m = signal_rows(spark, sf_dir).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum(metrics.flag(Y)).alias("p"))
+    return m.select("month", "n", "p", *[c.rounded(metrics.wilson(F.col("p"), F.col("n"), z), 6).alias(f"z{round(z * 100)}") for z in (1.96, 1.64)])
 
 
 def _bins(feature: str) -> str:
@@ -428,7 +442,16 @@ def rule_verification(spark, sf_dir):
     return rounded(out, ["rule", "selected_count", "positive_count"], ["precision"], 6)
 
 
-@query("inferred_ops")
+_SIDES = " UNION ALL ".join(f"SELECT '{f}' AS feature, op, round(quantile_cont({f}, {q}), 10) AS t FROM train, (VALUES ('>='), ('<=')) o(op) GROUP BY op" for f in MINED for q in rules.GRIDS["decile"])
+
+
+@query(
+    "inferred_ops",
+    f"""WITH {sql.SIGNALS},{SPLIT}, train AS (SELECT * FROM splitted WHERE split = 'train'), atoms AS (SELECT DISTINCT * FROM ({_SIDES})), l AS (SELECT unnest([{', '.join(f"'{f}'" for f in MINED)}]) AS feature, unnest([{', '.join(MINED)}]) AS x, CAST({Y} AS INT) AS y, ret FROM train),
+    k AS (SELECT feature, op, t, count(*) AS n, sum(y) AS p, avg(ret) AS r FROM atoms JOIN l USING (feature) WHERE CASE op WHEN '>=' THEN x >= t ELSE x <= t END GROUP BY feature, op, t HAVING count(*) >= 20),
+    s AS (SELECT feature, op, max(3 * coalesce(r, 0) + 5 * {sql.wilson('p', 'n')} + 0.5 * p * 1.0 / n / (SELECT avg(CAST({Y} AS INT)) FROM train) + 0.1 * ln(1 + n)) AS v FROM k GROUP BY feature, op)
+    SELECT feature, coalesce(string_agg(op, ',' ORDER BY op DESC), '') AS ops FROM (SELECT *, max(v) OVER (PARTITION BY feature) AS top FROM s) WHERE top - v <= 0.35 GROUP BY feature""",
+)
 def inferred_ops(spark, sf_dir):
     """Which bound of each feature the outcome favours."""
     df = split_rows(spark, sf_dir).where("split = 'train'")

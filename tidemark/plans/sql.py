@@ -158,3 +158,10 @@ def wilson(p: str, n: str, z: float = 1.96) -> str:
 def fold(series: str, alpha: float) -> str:
     """Exponential smoothing of a column that has no nulls after its first value."""
     return f"list_reduce(list({series}) FILTER (WHERE {series} IS NOT NULL) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: a * {1 - alpha!r} + x * {alpha!r})"
+
+
+def gap_fold(series: str, alpha: float) -> str:
+    """Exponential smoothing that carries the level over nulls, after which the next value weighs more."""
+    step = f"""CASE WHEN x.v IS NULL THEN {{'v': a.v, 'w': a.w * {1 - alpha!r}::DOUBLE}} WHEN a.v IS NULL THEN {{'v': x.v, 'w': 1.0::DOUBLE}}
+      ELSE {{'v': (a.w * {1 - alpha!r}::DOUBLE * a.v + {alpha!r}::DOUBLE * x.v) / (a.w * {1 - alpha!r}::DOUBLE + {alpha!r}::DOUBLE), 'w': 1.0::DOUBLE}} END"""
+    return f"(list_reduce(list({{'v': ({series})::DOUBLE, 'w': 1.0::DOUBLE}}) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: {step})).v"

@@ -12,9 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.folders import shared
+
 LEVEL = "level double, started boolean"
 
 
@@ -118,6 +121,32 @@ def smoothed(bars: DataFrame, alpha: float, horizon: str = "1200 days", order: s
     return rows.groupBy("instrument").transformWithStateInPandas(Corrected(alpha, order), schema, "Update", "EventTime")
 
 
-def state_store(spark) -> None:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def state_store(spark: SparkSession) -> None:
     """State with maps and timers is kept in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each bar the row that came out of the last batch (``batch``) that gave one."""
+    newest = Window.partitionBy("instrument", "ts").orderBy(F.desc("batch"))
+    return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").drop("_k")
+
+
+def replayed(spark: SparkSession, first: DataFrame, later: DataFrame, alpha: float, horizon: str = "36500 days") -> DataFrame:
+    """Two deliveries streamed one after the other, and the last level of each bar: what a store of
+    the stream's output holds. Deliveries and results are files in the shared folder."""
+    before = spark.conf.get(STORE)
+    state_store(spark)
+    folder = shared(spark, "deliveries")
+    try:
+        for rows in (first, later):
+            rows.write.mode("append").parquet(f"{folder}/in")
+            out = smoothed(spark.readStream.schema(first.schema).parquet(f"{folder}/in"), alpha, horizon)
+            sink = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/step={batch}")
+            out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    return latest(spark.read.parquet(f"{folder}/out"))
