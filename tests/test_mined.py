@@ -108,6 +108,27 @@ def brute_auc(x, y):
     return (ranks[y].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
 
 
+def test_simplified_rules_keep_their_promise(got, duck):
+    mined = {r.rule: r for r in got("beam_search")}
+    found = got("simplified_rules")
+    assert found and [r.rule for r in found] == list(mined)[: len(found)]
+    for r in found:
+        n, p, _ = counted(duck, where(r.simplified))["selection"]
+        assert (r.n, r.precision) == (mined[r.rule].selection_n, mined[r.rule].selection_precision) and (r.simplified_n, r.simplified_precision) == (n, pytest.approx(p))
+        assert set(R.parse(r.simplified)) <= set(R.parse(r.rule))
+        kept = len(R.parse(r.rule)) - len(R.parse(r.simplified))
+        assert n >= plans.LOOSE.simplify_min_count_ratio**kept * r.n and p >= r.precision - kept * plans.LOOSE.simplify_precision_drop - 1e-9
+
+
+def test_styles_take_the_best_rules_that_are_left(got):
+    scores = {r.rule: r for r in got("final_filter")}
+    used = set()
+    for style in ("high_precision", "stable", "coverage"):
+        best = sorted((t for t in scores if t not in used), key=lambda t: (-scores[t][style], t))[:5]
+        assert [r.rule for r in got("exported_styles") if r["style"] == style] == best
+        used |= set(best)
+
+
 def test_correlated_pruning(got, duck):
     cols = duck.execute(f"SELECT {', '.join(plans.MINED)}, {plans.Y} FROM splitted").fetchnumpy()
     y = np.ma.filled(cols[plans.Y], False).astype(bool)

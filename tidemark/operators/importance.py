@@ -8,7 +8,7 @@ index within each partition, and the rows of the partitions before, of which the
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,10 @@ def shuffled(df: DataFrame, keys: list[str], columns: list[str], seed: int) -> D
 
 
 def fitted(train: DataFrame, inputs: list[str], label: str, trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestRegressionModel:
-    rows = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="skip").transform(train).select("_x", F.col(label).cast("double").alias("_y")).where("_y is not null")
-    return RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    """A forest on the rows that have all inputs and the label; these are written once and read for every level."""
+    rows = train.select(*[F.col(c).cast("double").alias(c) for c in inputs], F.col(label).cast("double").alias("_y")).dropna()
+    rows = kept(rows.select(F.array(*inputs).alias("_v"), "_y"), "train").select(array_to_vector("_v").alias("features"), "_y")
+    return RandomForestRegressor(labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def _r2(error, label):
@@ -50,11 +52,9 @@ def permutation(model: RandomForestRegressionModel, valid: DataFrame, keys: list
     """
     rows = valid.select(*keys, *[F.col(c).cast("double").alias(c) for c in inputs], F.col(label).cast("double").alias("_y")).dropna(subset=[*inputs, "_y"])
     rows = kept(rows.withColumn("_v", F.array(*inputs)), "valid").select(*keys, "_v", "_y")
-    x = VectorAssembler(inputCols=inputs, outputCol="features")
 
     def scored(df: DataFrame, by: list[str]) -> DataFrame:
-        spread = df.select(*by, "_y", *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(inputs)])
-        got = model.setFeaturesCol("features").setPredictionCol("_p").transform(x.transform(spread))
+        got = model.setPredictionCol("_p").transform(df.select(*by, "_y", array_to_vector("_v").alias("features")))
         return got.groupBy(*by).agg(_r2(F.col("_y") - F.col("_p"), F.col("_y")).alias("r2"))
 
     whole = scored(rows, []).first().r2

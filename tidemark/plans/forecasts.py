@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.operators import forecast, metrics
+from tidemark.functions import windows as w
+from tidemark.operators import forecast, importance, metrics
 from tidemark.plans import sql
 from tidemark.plans.market import KEY, bars, query, rounded
 
@@ -115,3 +116,31 @@ def standardised(spark, sf_dir):
 
     b = bars(spark, sf_dir).withColumn("train", F.row_number().over(w.by()) <= F.floor(F.count(F.lit(1)).over(w.Window.partitionBy("instrument")) * 0.75))
     return rounded(forecast.standardised(b, ["close"], F.col("train"), ["instrument"]), KEY, ["close_scaled"], 6)
+
+
+@query(
+    "recursive_forecast",
+    f"""WITH RECURSIVE {sql.BARS},{FRAMES}, steps(instrument, session, x, k) AS (SELECT instrument, session, x, 0 FROM frames WHERE part = 'valid'
+      UNION ALL SELECT instrument, session, list_append(x[2:], list_sum(x) / 15), k + 1 FROM steps WHERE k < 3)
+    SELECT instrument, session, round(x[13], 6) AS next1, round(x[14], 6) AS next2, round(x[15], 6) AS next3 FROM steps WHERE k = 3""",
+)
+def recursive_forecast(spark, sf_dir):
+    """Three steps ahead, each the mean of a window that the steps before have moved on."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    f = frames(spark, sf_dir).where("part = 'valid'").withColumn("p", forecast.recursive(F.col("x"), mean, 3))
+    return f.select(*KEY, *[c.rounded(F.get("p", F.lit(k)), 6).alias(f"next{k + 1}") for k in range(3)])
+
+
+@query("forest_importance")
+def forest_importance(spark, sf_dir):
+    """How much R2 of a forest falls when the close or the volume of a window is shuffled, summed over lags."""
+    steps = lambda x: F.transform(x, lambda v: F.try_divide(v, F.element_at(x, -1)))
+    b = bars(spark, sf_dir).withColumn("_v", F.array_compact(F.collect_list("volume").over(w.last(15))))
+    volumes = b.where(F.size("_v") == 15).select(*KEY, steps(F.col("_v")).alias("volume"))
+    f = frames(spark, sf_dir).where("part <> 'predict'").join(volumes, KEY).withColumn("y1", F.try_divide(F.get("y", F.lit(0)), "base"))
+    rows, names = importance.flat(f.withColumn("close", steps(F.col("x"))), ["close", "volume"], 15, [*KEY, "part", "y1"])
+    inputs = [n for n in names if not n.endswith("_t-0")]  # a window's newest value is what the others are taken from
+    train = rows.where("part = 'train'").repartition("instrument").sortWithinPartitions(*KEY)
+    model = importance.fitted(train, inputs, "y1", trees=10)
+    found = importance.permutation(model, rows.where("part = 'valid'"), KEY, inputs, "y1", seeds=(1, 2))
+    return importance.by_base(found).select("feature", c.rounded("importance", 6).alias("importance"))

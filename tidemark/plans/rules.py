@@ -519,3 +519,22 @@ def preset_search(spark, sf_dir):
     finally:
         rows.unpersist()
     return spark.createDataFrame([(i, f.text, float(f.score), f.selection["n"], float(f.selection["precision"])) for i, f in enumerate(found, 1)], "rank int, rule string, score double, n int, precision double")
+
+
+@query("simplified_rules")
+def simplified_rules(spark, sf_dir):
+    """The best mined rules without the atoms that they don't need."""
+    with mined(spark, sf_dir) as (rows, found):
+        out = [(f.text, g.text, f.selection["n"], g.selection["n"], float(f.selection["precision"]), float(g.selection["precision"])) for f in found[:10] for g in [search.simplified(rows, f, LOOSE)]]
+    return spark.createDataFrame(out, "rule string, simplified string, n int, simplified_n int, precision double, simplified_precision double")
+
+
+@query("exported_styles")
+def exported_styles(spark, sf_dir):
+    """The best mined rules of each style, none of them twice."""
+    with mined(spark, sf_dir) as (rows, found):
+        months = [r.month for r in rows.select("month").distinct().collect()]  # one row a month
+        fw = {x["rule"]: x for x in search.forward_summary(rows, [f.rule for f in found], search.forward_months(months))} if found else {}
+        scores = {f.text: scoring.styles(f.selection, f.final, f.months, fw[f.text]) for f in found}
+        out = [(style, f.text, float(scores[f.text][style]), f.selection["n"], float(f.selection["precision"])) for style, f in scoring.export_styles(found, scores, 5)]
+    return spark.createDataFrame(out, "style string, rule string, score double, n int, precision double")
