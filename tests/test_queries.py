@@ -17,7 +17,7 @@ def test_queries_agree_with_their_sql(spark, part):
 
 
 #: Those that mine are held against plain versions in test_mined.py and test_avoid.py, where there is enough to mine.
-MINE = {"beam_search_full_size", "leave_one_feature_out", "heap_miner_stop", "heap_miner_no_bounce", "stop_scenarios", "no_bounce_scenarios", "broad_scenarios", "simplified_rules", "exported_styles"}
+MINE = {"beam_search_full_size", "leave_one_feature_out", "heap_miner_stop", "heap_miner_no_bounce", "stop_scenarios", "no_bounce_scenarios", "broad_scenarios", "simplified_rules", "exported_styles", "beam_search", "or_sets_exhaustive", "or_sets_greedy", "portfolio_diversified", "preset_search", "final_filter", "good_scenarios"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ROWS) - MINE))
