@@ -48,6 +48,16 @@ def test_records_refuse_damage():
         records.unframe(memoryview(data), 0)
 
 
+def test_records_leave_other_files_alone(spark, tmp_path):
+    (tmp_path / "mine.txt").write_text("keep")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    first = records.write_token_records(docs(spark, ["a b"]), str(tmp_path), tokenizer, 2)
+    second = records.write_token_records(docs(spark, ["c"]), str(tmp_path), tokenizer, 2)
+    names = {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert names == {"mine.txt", "manifest.json"} | {f"{f['name']}.{k}" for m in (first, second) for f in m["files"] for k in ("rec", "idx")}
+    assert records.read_token_records(spark, str(tmp_path)).count() == second["docs"]
+
+
 def test_records_of_empty_table(spark, tmp_path):
     manifest = records.write_token_records(docs(spark).where("false"), str(tmp_path), public_tokenizers.path("word_bpe_49k.json"), 2)
     assert manifest["docs"] == 0 and records.read_token_records(spark, str(tmp_path)).count() == 0

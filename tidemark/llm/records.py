@@ -182,10 +182,12 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_file: str, end_i
     One range shuffle on (id, hash of the text) orders the rows, so that repeated ids
     can be split too. Each task writes files under a name of its own attempt; only the
     names that successful tasks return come into the manifest, so retries and lost
-    executors leave no half-written file in it. The driver gets one row for each task.
+    executors leave no half-written file in it. Files of this run's other attempts are deleted,
+    files of anyone else stay. The driver gets one row for each task.
     """
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
+    run = uuid.uuid4().hex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie", "text")
 
@@ -195,7 +197,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_file: str, end_i
         enc, out, n_docs, n_ids, offset = encoder(tokenizer_file, end_id), None, 0, 0, 0
         fs, root = filesystem(folder)
         pid = TaskContext.get().partitionId()
-        name = f"part-{pid:08d}-{uuid.uuid4().hex}"
+        name = f"part-{run}-{pid:08d}-{uuid.uuid4().hex}"
         index = None
         for batch in batches:
             for part in slices_of(batch, 1, 4_000_000):
@@ -224,7 +226,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_file: str, end_i
     from pyarrow.fs import FileSelector
 
     for info in fs.get_file_info(FileSelector(root)):
-        if info.base_name not in kept:  # of attempts that failed
+        if info.base_name.startswith(f"part-{run}-") and info.base_name not in kept:  # of attempts that failed
             fs.delete_file(info.path)
     manifest = {"docs": sum(f["docs"] for f in files), "ids": start, "files": files}
     with fs.open_output_stream(f"{root}/manifest.json") as f:
