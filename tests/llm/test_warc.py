@@ -118,3 +118,24 @@ def test_archives_of_other_crawlers(spark, tmp_path):
         assert bytes(one.payload) == b"plain" and one.payload_digest == hashlib.sha256(b"plain").hexdigest()
         assert df.where("record_type = 'revisit' and payload_bytes is null").count() == times and df.where("payload_bytes > 1000").count() == times
     assert warc.read_archive(spark, str(tmp_path / "2020" / "none")).count() == 0
+
+
+class Counted:
+    """A file in memory that counts what is read from it."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, 0
+
+    def read_at(self, n, at):
+        self.reads += 1
+        return self.data[at : at + n]
+
+
+def test_a_record_without_a_blank_line_is_read_in_growing_steps():
+    data = b"WARC/1.0\r\n" + b"x" * (8 << 20)
+    f = Counted(data)
+    assert warc.Member(f, len(data), 0).until(b"\r\n\r\n") is None and f.reads < 25
+    near = b"WARC/1.0\r\nA: b\r\n\r\nrest"
+    member = warc.Member(Counted(near), len(near), 0)
+    assert member.until(b"\r\n\r\n") == b"WARC/1.0\r\nA: b" and member.take(4) == b"rest"
+    assert warc.Member(Counted(data), len(data), 0).until(b"\r\n\r\n", 5000) is None

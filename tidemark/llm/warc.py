@@ -236,15 +236,16 @@ class Member:
 
     def until(self, mark: bytes, most: int | None = None) -> bytes | None:
         """What stands before the mark, which is taken off too; None if it isn't there within ``most`` bytes."""
-        seen = 0
+        seen, step = 0, 1024
         while True:
             found = self.data.find(mark, max(0, seen - len(mark)), most)
             if found >= 0:
                 out, self.data = self.data[:found], self.data[found + len(mark) :]
                 return out
             seen = len(self.data)
-            if (most is not None and seen >= most) or not self.more(1024):
+            if (most is not None and seen >= most) or not self.more(step):
                 return None
+            step = min(2 * step, 1 << 24)  # so that a mark far away costs what the bytes before it do
 
     def take(self, n: int) -> bytes:
         parts, left = [], n
