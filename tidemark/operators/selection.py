@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.folders import kept
 from tidemark.operators import metrics, search
 from tidemark.operators.rules import Atom, Rule, rule_column, text
 from tidemark.operators.search import SPLITS, Found, lcb
@@ -45,6 +46,7 @@ class Patterns:
             for r in first:
                 self.held[r.split][seen[r.bits]] = [r[n] or 0.0 for n in self.names]
         else:
+            self.table = kept(self.table, "patterns")  # every step reads it again
             self.splits = sorted(r.split for r in self.table.select("split").distinct().collect())
 
     def union(self, sets: list[tuple[int, ...]]) -> list[dict[str, dict[str, float]]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.functions.folders import shared
+from tidemark.functions.folders import kept, shared
 from tidemark.operators import metrics, quantiles, rules, scoring, topk
 from tidemark.plans import sql
 from tidemark.plans.market import KEY, query, signal_rows
@@ -24,13 +24,15 @@ CATALOG = {**GOOD, **STOP, **BOUNCE}
 )
 def quantiles_by_rank(spark, sf_dir):
     """Quantiles of every feature on each split, by passes over the bits of the values."""
-    found = quantiles.quantiles(split_rows(spark, sf_dir), NAMES, GRID, ["split"])
+    rows = kept(split_rows(spark, sf_dir).select("split", *NAMES), "signals")  # read once for each pass
+    found = quantiles.quantiles(rows, NAMES, GRID, ["split"])
     return found.select("split", "feature", c.rounded("q", 6).alias("q"), c.rounded("value", 6).alias("value"))
 
 
 @query("monthly_median_returns", f"WITH {sql.SIGNALS} SELECT month, round(median(ret), 6) AS median_return, round(quantile_cont(ret, 0.9), 6) AS high_return FROM signals GROUP BY month HAVING count(ret) > 0")
 def monthly_median_returns(spark, sf_dir):
-    found = quantiles.quantiles(signal_rows(spark, sf_dir), ["ret"], [0.5, 0.9], ["month"]).groupBy("month")
+    rows = kept(signal_rows(spark, sf_dir).select("month", "ret"), "signals")
+    found = quantiles.quantiles(rows, ["ret"], [0.5, 0.9], ["month"]).groupBy("month")
     return found.agg(*[c.rounded(F.max(F.when(F.col("q") == q, F.col("value"))), 6).alias(n) for q, n in ((0.5, "median_return"), (0.9, "high_return"))])
 
 
