@@ -459,12 +459,26 @@ def inferred_ops(spark, sf_dir):
     return spark.createDataFrame([(f, ",".join(ops)) for f, ops in found.items()], "feature string, ops string")
 
 
-@query("correlated_pruning")
+_RANKS = lambda f: f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0"
+_PAIRS = [tuple(sorted((a, b))) for i, a in enumerate(MINED) for b in MINED[i + 1 :]]
+
+
+@query(
+    "correlated_pruning",
+    f"""WITH RECURSIVE {sql.SIGNALS}, l AS (SELECT CAST({Y} AS INT) AS y, unnest([{', '.join(f"'{f}'" for f in MINED)}]) AS feature, unnest([{', '.join(MINED)}]) AS x FROM signals),
+    r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS k FROM l WHERE x IS NOT NULL),
+    a AS (SELECT feature, greatest(raw, 1 - raw) AS auc FROM (SELECT feature, (sum(k * y) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS raw FROM r GROUP BY feature)),
+    rho AS ({' UNION ALL '.join(f"SELECT '{x}' AS f, '{y}' AS g, corr(i, j) AS rho FROM (SELECT {_RANKS(x)} AS i, {_RANKS(y)} AS j FROM signals WHERE {x} IS NOT NULL AND {y} IS NOT NULL)" for x, y in _PAIRS)}),
+    pairs AS (SELECT row_number() OVER (ORDER BY f, g) AS n, CASE WHEN coalesce(b.auc, 0) > coalesce(a.auc, 0) THEN g ELSE f END AS better, CASE WHEN coalesce(b.auc, 0) > coalesce(a.auc, 0) THEN f ELSE g END AS worse
+              FROM rho LEFT JOIN a ON a.feature = f LEFT JOIN a b ON b.feature = g WHERE abs(rho) >= 0.6),
+    steps(n, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT p.n, CASE WHEN list_contains(gone, better) THEN gone ELSE list_append(gone, worse) END FROM steps s JOIN pairs p ON p.n = s.n + 1)
+    SELECT feature, round(coalesce(auc, 0), 6) AS auc, NOT list_contains((SELECT arg_max(gone, n) FROM steps), feature) AS kept FROM (SELECT unnest([{', '.join(f"'{f}'" for f in MINED)}]) AS feature) LEFT JOIN a USING (feature)""",
+)
 def correlated_pruning(spark, sf_dir):
     df = signal_rows(spark, sf_dir)
     auc = {r.feature: r.auc or 0.0 for r in metrics.auc(df, MINED, F.col(Y)).collect()}  # one row a feature
     kept = refine.pruned(MINED, refine.correlated(df, MINED, 0.6), auc)
-    return spark.createDataFrame([(f, float(auc.get(f, 0.0)), f in kept) for f in MINED], "feature string, auc double, kept boolean")
+    return spark.createDataFrame([(f, float(auc.get(f, 0.0)), f in kept) for f in MINED], "feature string, auc double, kept boolean").withColumn("auc", c.rounded("auc", 6))
 
 
 @query("final_filter")
