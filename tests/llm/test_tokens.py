@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -160,6 +161,30 @@ def test_one_vocabulary_for_many_slices(spark, monkeypatch, sf_dir):
         assert len(got) == len(texts) and bpe.round_trip_digests(d.where("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_buckets_are_bounded_and_read_in_chunks(spark, monkeypatch, sf_dir):
+    """Many slices that share a word: few rows a slice, lists without tokens, small chunks and memos, and the same ids."""
+    path, enc = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tiktoken_encoding()
+    own = [r.text for r in registry.table(spark, sf_dir, "documents").select("text").limit(40).collect()]
+    texts = [f"{t} zqxvzqxv zqxv{i % 7}" for i, t in enumerate(own * 5)] + ["the the", ""]
+    c = bpe.Codec(path, public_tokenizers.PATTERN)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name, value in (("SLICE", 1), ("BUCKET", 50), ("BUCKETS", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    seen, real = [], bpe.slices
+    monkeypatch.setattr(bpe, "slices", lambda *args: seen.append(args[4]) or real(*args))
+    wants = [enc.encode_ordinary(t) for t in texts]
+    for chunk, memo in ((1, 1), (1, 10**9), (3000, 2000), (10**9, 1)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "VOCABULARY", memo)
+        got = {r.doc_id: tuple(r)[1:3] for r in bpe.round_trip_digests(d, path, public_tokenizers.PATTERN).collect()}
+        assert got == {i: (len(w), hashlib.sha256(",".join(map(str, w)).encode()).hexdigest()) for i, w in enumerate(wants)}
+    assert set(seen) == {5}
+    lists = real(d, path, public_tokenizers.PATTERN, bpe.work_path(spark, "lists"), 5).collect()
+    assert max(Counter(r.slice for r in lists).values()) <= 1 + 5 and len({r.slice for r in lists}) == len(texts)
+    dealt = Counter(w for r in lists if r.bucket >= 0 for w in bpe.unpacked_words(bytes(r.words)))
+    assert dealt[b" zqxvzqxv"] == len(own) * 5 and not any(w in c.ranks for w in dealt)
+
+
 def test_contamination_on_small_alphabets(spark):
     rng = np.random.default_rng(2)
     say = lambda n: " ".join(rng.choice(["a", "B", "c", "é", "x1"], n))

@@ -1,11 +1,16 @@
 """Byte-level BPE by merge replay over the vocabulary of a corpus.
 
 The pre-tokenising pattern cuts texts into words, once. A task deals its texts into slices
-of about ``SLICE`` bytes and writes each as numbers into the slice's own list of distinct
-words. These lists, dealt into buckets by hash of the word, are the vocabulary of the
-corpus: a bucket holds all that any slice has of its words, and there are so many buckets
-that one has about ``BUCKET`` bytes of text behind it. The distinct words of a bucket are
-replayed at once, each word of the corpus just once: they form one flat array of symbols, an
+of about ``SLICE`` bytes and writes each as numbers: a word that is a token itself by its
+rank, which hides the frequent words from everything below, any other by its place in the
+slice's own list of distinct words. These lists, dealt into buckets by hash of the word, are
+the vocabulary of the corpus: a bucket holds all that any slice has of its words. There are
+so many buckets that one has about ``BUCKET`` bytes of text behind it, but ``BUCKETS`` at
+most, so a slice never sends more rows than that and each bucket gets about as many rows and
+words as any other. A bucket is read as a stream of chunks of about ``CHUNK`` bytes of words.
+The words of a chunk that the bucket hasn't seen are replayed at once, each word of the
+corpus just once (again only where a bucket has over ``VOCABULARY`` bytes of distinct words,
+and its memo starts anew): they form one flat array of symbols, an
 inverted index leads from the pairs that can merge to the positions where they stand, and
 merges are applied in rank order to all words at once, updating only the two neighbours of
 each merged pair. Pairs that make the same token have the same rank and share an entry,
@@ -149,6 +154,7 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.tokens[r] = token
+        self.single = [[r] for r in range(len(self.tokens))]
         self.first = byte_pairs(self.ranks)
         self.split = regex.compile(pattern).findall
         self.pairs: dict[int, int] = {}
@@ -179,8 +185,10 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-#: Bytes of text in a slice, and behind a bucket of words.
-SLICE, BUCKET = 8_000_000, 4_000_000
+#: Bytes of text in a slice, and behind a bucket of words; most buckets.
+SLICE, BUCKET, BUCKETS = 8_000_000, 4_000_000, 4096
+#: Bytes of words that a bucket's task takes at once, and that it remembers; a word counts as ``EACH`` bytes more.
+CHUNK, VOCABULARY, EACH = 8_000_000, 64_000_000, 64
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -208,9 +216,9 @@ def unpacked_words(data: bytes) -> list[bytes]:
 
 
 def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets: int) -> DataFrame:
-    """slice, file, bucket, base, words: the distinct words of each slice by bucket, numbered from base on.
+    """slice, file, bucket, base, words: the distinct words of each slice that aren't tokens, by bucket, numbered from base on.
 
-    The texts go to the file as numbers of words. Slices are numbered by partition; files
+    The texts go to the file as numbers of words: ranks, and above them all places in these lists. Slices are numbered by partition; files
     carry a name of their attempt, and only those of tasks that succeeded are listed. The
     first row of a slice has bucket -1, the file's name and the number of words as base.
     """
@@ -218,19 +226,20 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        split, (fs, root) = codec(rank_file, pattern).split, filesystem(folder)
+        c, (fs, root) = codec(rank_file, pattern), filesystem(folder)
+        split, rank, least = c.split, c.ranks.get, len(c.tokens)
         pid, made = TaskContext.get().partitionId(), 0
         ids: list = []
         counts, numbers, size = [], [], 0
         known: dict[str, int] = {}
+        words: list[bytes] = []
 
         def close():
             nonlocal made, size
-            words = [w.encode() for w in known]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(of, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
+            place = np.arange(least + len(words))
+            place[least + order] = least + np.arange(len(words))
             name = f"{pid}-{made}-{uuid.uuid4().hex}"
             # null ids stand as zero and are told by the second part
             with fs.open_output_stream(f"{root}/{name}") as f:
@@ -242,7 +251,7 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
             for bucket, (x, y) in zip(found.tolist(), itertools.pairwise([*first.tolist(), len(words)]), strict=True):
                 rows.append((pid << 32 | made, None, bucket, x, packed_words([words[i] for i in order[x:y].tolist()])))
             made, size = made + 1, 0
-            for x in (ids, counts, numbers, known):
+            for x in (ids, counts, numbers, known, words):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -252,12 +261,16 @@ def slices(docs: DataFrame, rank_file: str, pattern: str, folder: str, buckets:
                     text = text.as_py()
                     if ids and size + len(text or "") > SLICE:
                         yield close()
-                    words = split(text) if text else []
-                    for w in set(words).difference(known):
-                        known[w] = len(known)
-                    numbers += map(known.__getitem__, words)
+                    said = split(text) if text else []
+                    for w in set(said).difference(known):
+                        whole = w.encode()
+                        if (r := rank(whole)) is None:
+                            r = least + len(words)
+                            words.append(whole)
+                        known[w] = r
+                    numbers += map(known.__getitem__, said)
                     ids.append(doc_id)
-                    counts.append(len(words))
+                    counts.append(len(said))
                     size += len(text or "")
         if ids:
             yield close()
@@ -284,13 +297,17 @@ def replayed(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """slice, base, sizes, ids of the lists of words: how many ids each word has, and these on end, packed."""
 
     def run(batches):
-        c = codec(rank_file, pattern)
-        now, rows, known = None, [], {}
+        c, none = codec(rank_file, pattern), np.empty(0, np.int64)
+        now, rows, held = None, [], 0
+        known, fresh, size = {}, [], 0
+        sizes, flat = none, none
 
         def close():
-            ids = c.words(list(known))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat, first = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+            nonlocal held, sizes, flat
+            ids = c.words(fresh)
+            sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(ids), np.int64)])
+            first = np.cumsum(sizes) - sizes
             out = ([], [], [], [])
             for key, base, words in rows:
                 n = sizes[words]
@@ -298,18 +315,25 @@ def replayed(lists: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 for x, v in zip(out, (key, base, packed(n), packed(flat[at])), strict=True):
                     x.append(v)
             rows.clear()
-            known.clear()
+            fresh.clear()
+            held = 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "base", "sizes", "ids"])
 
         for b in batches:
             for bucket, key, base, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if bucket != now and rows:
+                if rows and (bucket != now or held > CHUNK):
                     yield close()
+                if not rows and (bucket != now or size > VOCABULARY):
+                    known.clear()
+                    size, sizes, flat = 0, none, none
                 now = bucket
                 words = unpacked_words(words)
                 for w in words:
                     if w not in known:
                         known[w] = len(known)
+                        fresh.append(w)
+                        size += len(w) + EACH
+                held += sum(map(len, words)) + EACH * len(words)
                 rows.append((key, base, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
         if rows:
             yield close()
@@ -322,7 +346,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str)
     """What ``finish(codec, doc_ids, counts of words, numbers of words, ids of each word)`` makes of each slice of docs (doc_id, text)."""
     folder = work_path(docs.sparkSession, "word-numbers")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    lists = materialise(slices(docs, rank_file, pattern, folder, max(1, -(-total // BUCKET))), "word-lists")
+    lists = materialise(slices(docs, rank_file, pattern, folder, min(BUCKETS, max(1, -(-total // BUCKET)))), "word-lists")
     given = replayed(lists, rank_file, pattern).withColumns({"file": F.lit(None).cast("string"), "n": F.lit(0)})
     none = F.lit(None).cast("binary")
     heads = lists.where("bucket < 0").select("slice", F.lit(-1).alias("base"), none.alias("sizes"), none.alias("ids"), "file", F.col("base").alias("n"))
@@ -336,7 +360,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, finish, schema: str)
             if len(counts) != n:
                 raise ValueError(f"{len(counts)} of {n} words of {file} have ids")
             flat, ends = list(itertools.chain.from_iterable(unpacked(x).tolist() for x in ids)), np.cumsum(counts).tolist()
-            return finish(c, *load(fs, f"{root}/{file}"), [flat[a:b] for a, b in itertools.pairwise([0, *ends])])
+            return finish(c, *load(fs, f"{root}/{file}"), c.single + [flat[a:b] for a, b in itertools.pairwise([0, *ends])])
 
         for b in batches:
             for base, some, part, name, words in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
