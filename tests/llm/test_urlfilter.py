@@ -102,6 +102,23 @@ def test_classes_of_pages_full_of_links(spark):
     assert got == want and len({w[3] for w in want.values()}) == 2 and sum(w[3] == "block" for w in want.values()) > sum(w[3] == "block" for w in own.values())
 
 
+def test_short_and_long_lists_agree(spark, sf_dir, monkeypatch):
+    """Rules in an expression and rules as a joined table, with and without links."""
+    rng = np.random.default_rng(6)
+    pages = registry.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    urls = [r.url for r in pages.limit(200).collect()]
+    linked = [(10_000 + i, u, f"<link rel=canonical href='{rng.choice(urls)}'>") for i, u in enumerate(urls[:60])] + [(None, None, None), (7, "://", ""), (8, "http://.com/en/", "")]
+    for df in (pages, spark.createDataFrame(linked, pages.schema)):
+        answers = []
+        for short in (urlfilter.SHORT, 0):
+            monkeypatch.setattr(urlfilter, "SHORT", short)
+            answers.append(sorted(map(str, urlfilter.judge(df, [*registry.URL_RULES, ("block", "com/en/"), ("allow", "com/en/")]).collect())))
+            monkeypatch.undo()
+        assert answers[0] == answers[1] and len(answers[0]) == df.count()
+    plan = urlfilter.judge(pages, registry.URL_RULES)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
 def test_targets_resolve(spark):
     link = "<link rel=canonical href='{}'>".format
     cases = [("a/b", "http://h/x/y", "h/x/a/b"), ("../b", "http://h/x/y/z?q", "h/x/b"), ("./b?c=../d", "http://h/x/", "h/x/b?c=../d"), ("../../../b/..", "http://h/x/y", "h/"), ("/a/./b/../c#f", "http://h", "h/a/c"), ("?k", "http://h/x/y", "h/x/y?k"), ("//o/p/../q", "http://h/x", "o/p/../q"), ("/..a/.b", "http://h", "h/..a/.b")]

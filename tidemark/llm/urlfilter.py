@@ -7,12 +7,15 @@ fragment. The links' connected components are the classes of aliases. A URL that
 rule fits is blocked if any URL of its class is blocked by a rule; an explicit allow
 keeps the URL it fits, whatever its aliases are.
 
-Rules are a table of any length. A URL's host and its parent domains meet the hosts of
+Rules are a table of any length. Up to ``SHORT`` of them, counted, are one map from a host
+to its rules inside the expression that judges a URL: no join and no shuffle. Of longer
+lists, a URL's host and its parent domains meet the hosts of
 the rules by an equality join, which tells the lengths of the paths to try; these
 prefixes meet the rules by a second one. No URL meets rules that don't fit it, so work
 follows the URLs, not the list. Spark broadcasts the rules if they are below its own
-size bound, else both sides are shuffled. Only nodes with links go through the
-component rounds.
+size bound, else both sides are shuffled. Links are extracted and written once; without
+any there are no aliases and the rules' verdicts stand, else only nodes with links go
+through the component rounds.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no
 rule, has no aliases and is allowed; a null html has no links; targets that are
@@ -32,6 +35,8 @@ from tidemark.llm.common import materialise
 from tidemark.llm.components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Most rules that are held in an expression.
+SHORT = 100
 LINK = r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 BASE = r"""(?i)<base\b[^>]*>"""
@@ -88,14 +93,38 @@ def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str]]) ->
     return materialise(best.groupBy("at", "prefix").agg(F.max("r").alias("r")), "url-rules")
 
 
+def parents() -> Column:
+    """A host and its parent domains."""
+    return F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> substring_index(host, '.', -n))")
+
+
 def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """host, path, r: the longest fitting rule of each host and path that has one."""
-    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> substring_index(host, '.', -n))")
+    """urls (host, path and others) with r, the longest fitting rule of each, null for none."""
+    few = rules.select("at", "prefix", "r.*").limit(SHORT + 1).collect()
+    if len(few) <= SHORT:
+        return urls.withColumn("r", among(few))
     tried = materialise(rules.groupBy("at").agg(F.collect_set(F.length("prefix")).alias("sizes")), "url-rule-sizes")
-    here = urls.where("host <> '' and path <> ''").select("host", "path", F.explode(F.array_distinct(parents)).alias("at"))
+    here = urls.where("host <> '' and path <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(parents())).alias("at"))
     some = here.join(tried, "at").select("host", "path", "at", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
     found = some.select("host", "path", "at", F.expr("substring(path, 1, n)").alias("prefix")).join(rules, ["at", "prefix"])
-    return materialise(found.groupBy("host", "path").agg(F.max("r").alias("r")), "url-verdicts")
+    best = materialise(found.groupBy("host", "path").agg(F.max("r").alias("r")), "url-verdicts")
+    return urls.join(best, ["host", "path"], "left")
+
+
+def among(rules: list) -> Column:
+    """The longest of a few rules that fits host and path."""
+    kind = "struct<prefix: string, r: struct<size: int, allow: int, rule: string, verdict: string>>"
+    whole = lambda x: F.struct(F.lit(x.prefix).alias("prefix"), F.struct(*[F.lit(x[k]).alias(k) for k in ("size", "allow", "rule", "verdict")]).alias("r"))
+    of = {}
+    for x in sorted(rules):
+        of.setdefault(x.at, []).append(whole(x))
+    none = F.array().cast(f"array<{kind}>")
+    if not of:
+        return F.lit(None).cast("struct<size: int, allow: int, rule: string, verdict: string>")
+    known = F.create_map(*[c for at, xs in of.items() for c in (F.lit(at), F.array(*xs).cast(f"array<{kind}>"))])
+    near = F.flatten(F.transform(parents(), lambda p: F.coalesce(F.try_element_at(known, p), none)))
+    fits = F.filter(near, lambda x: F.startswith(F.col("path"), x["prefix"]))
+    return F.when((F.col("host") != "") & (F.col("path") != ""), F.array_max(F.transform(fits, lambda x: x["r"])))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -115,11 +144,13 @@ def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]]) -> DataFra
     url = F.col("url")
     rules = rule_table(pages.sparkSession, rules)
     own = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    edges = materialise(link_edges(pages), "url-links")
+    if edges.isEmpty():
+        verdict = F.coalesce(F.col("r.verdict"), F.lit("allow"))
+        return fitting(own.drop("node"), rules).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
     at = F.concat(F.lit("://"), F.col("node"))
-    classes = materialise(components(link_edges(pages)).select("node", "component", host_of(at).alias("host"), path_of(at).alias("path")), "url-classes")
-    best = fitting(own.select("host", "path").unionByName(classes.select("host", "path")), rules)
-    marked = classes.join(best.select("host", "path", F.col("r.verdict").alias("v")), ["host", "path"]).select("node", "component", "v")
-    blocked = marked.where("v = 'block'").select("component").distinct()
+    classes = materialise(components(edges).select("node", "component", host_of(at).alias("host"), path_of(at).alias("path")), "url-classes")
+    blocked = fitting(classes, rules).where("r.verdict = 'block'").select("component").distinct()
     aliases = materialise(classes.join(materialise(blocked, "blocked-classes"), "component").select("node", F.lit(True).alias("blocked")), "blocked-aliases")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
-    return own.join(best, ["host", "path"], "left").join(aliases, "node", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
+    return fitting(own, rules).join(aliases, "node", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
