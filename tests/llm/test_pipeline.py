@@ -76,3 +76,67 @@ def test_entropy_leaves_plain_documents_alone(spark, documents):
     found = secrets.find(documents)
     more = found.where("exists(spans, s -> s.ord >= 3) and not exists(base, s -> true)").count()
     assert more <= 0.02 * documents.count()
+
+
+def test_network_is_the_stated_convolution():
+    """Prediction by tables of pairs against filters slid over each window, and gradients against differences."""
+    rng = np.random.default_rng(5)
+    net = langid.Net(["a", "b", "c"], seed=3)
+    net.params["bias"][:] = rng.normal(0, 0.5, net.params["bias"].shape)
+    p = net.params
+
+    def direct(window):
+        tops = []
+        for w in langid.WIDTHS:
+            h = [sum(p[f"w{w}.{j}"][window[i + j]].astype("f8") for j in range(w)) for i in range(langid.WINDOW)]
+            tops.append(np.max(h, 0))
+        z = np.maximum(np.concatenate(tops) + p["bias"], 0) @ p["out"].astype("f8") + p["last"]
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for text in ("short", "é" * 64, "x" * 128, "word and " * 70, "z" * 127, "y" * 129):
+        data = text.encode()
+        n = -(-(len(data) + langid.PAD) // langid.WINDOW)
+        whole = np.zeros(n * langid.WINDOW + langid.PAD, np.uint8)
+        whole[: len(data)] = np.frombuffer(data, np.uint8)
+        probs = [direct(whole[k * langid.WINDOW : (k + 1) * langid.WINDOW + langid.PAD]) for k in range(n)]
+        assert np.allclose(net.compiled().windows(whole, n), probs, atol=1e-5)
+        weights = [min(langid.WINDOW, max(0, len(data) - k * langid.WINDOW)) for k in range(n)]
+        mean = np.average(probs, 0, weights)
+        ((lang, score),) = net.compiled().predict([text])
+        assert lang == net.langs[int(mean.argmax())] and abs(score - mean.max()) < 1e-5
+
+    net.params = p = {k: v.astype("f8") for k, v in p.items()}
+    x, y = rng.integers(97, 123, (6, langid.WINDOW + langid.PAD)).astype(np.uint8), rng.integers(0, 3, 6)
+    loss = lambda: -np.mean([np.log(direct(row)[k]) for row, k in zip(x, y, strict=True)])
+    for name, g in net.step(x, y).items():
+        for at in np.argsort(-np.abs(g).ravel())[:3]:
+            flat, h = p[name].reshape(-1), 1e-6
+            old = flat[at]
+            flat[at] = old + h
+            up = loss()
+            flat[at] = old - h
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / (2 * h) - g.ravel()[at]) < 1e-4
+
+
+def test_training_windows_cover_whole_texts(spark):
+    """Each window has the same chance, far ones of long texts too; the sample keeps to its bound and repeats."""
+    assert list(langid.drawn(5, 1.0, 0.9, 1)) == [0, 1, 2, 3, 4] and list(langid.drawn(0, 0.5, 0.1, 1)) == []
+    hits = np.zeros(40)
+    for i in range(4000):
+        for k in langid.drawn(40, 0.1, (i + 0.5) / 4000, i):
+            hits[k] += 1
+    assert np.all(np.abs(hits - 400) < 100)
+    long = "".join(f"{i:08d}" for i in range(16 * 3000))
+    rows = [(8, long, "n", "xx"), (3, long, "n", "xx"), (11, "", "n", "xx"), (12, None, "n", "xx"), (7, "tail", None, "xx"), (9, "bb " * 50, "m", "yy"), (10, "q", "und", "zz")]
+    keep = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string")
+    x, y, langs = langid.training_windows(d, 200)
+    assert langs == sorted({r[2] for r in keep if r[2] not in (None, "und") and r[1]}) and np.bincount(y).max() <= 200
+    starts = [int(bytes(w[:8])) // 16 for w, k in zip(x, y, strict=True) if langs[k] == "n"]
+    assert len(starts) == len(set(starts)) == 200 and min(starts) < 300 and max(starts) > 2700
+    again = langid.training_windows(d.repartition(3), 200)
+    assert np.array_equal(x, again[0]) and np.array_equal(y, again[1])
+    assert langid.identify(d.where("false")).count() == 0

@@ -5,13 +5,18 @@ each window (one table of weights per filter offset and byte), their largest val
 in the window goes through a rectifier, and a softmax over the learned languages
 follows; a text's distribution is the mean over all its windows, weighted by bytes.
 
-Training takes a bounded sample (``per_lang`` rows of each language, ``windows``
-windows of each row, spread over the whole text) of the labelled rows that aren't
-held out; only those windows come to the driver. Predictions read the text alone.
+Training takes a bounded sample, ``per_lang`` windows of each language: every window of
+every labelled row that isn't held out has the same chance, wherever it stands in its
+text. Chances are drawn from hashes of the doc_id and the text; texts without a drawn
+window stay in the JVM, and only drawn windows come to the driver. Predictions read the
+text alone.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0, and so
-is everything if there is nothing to learn from; a null doc_id isn't held out; rows
-with a null lang are predicted, not learned from; repeated rows are kept.
+is everything if there is nothing to learn from, an empty table included (which gives no
+rows); a null doc_id isn't held out; rows with a null lang are predicted, not learned
+from; repeated rows are kept; texts of any length are read whole; of languages with equal
+sums the one first in the alphabet wins; of the documents only doc_id, text and lang are
+read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -144,41 +149,55 @@ class Compiled:
         return out
 
 
-def training_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The bounded sample: rows with the smallest hashes of their ids."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in rows.select("lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def drawn(n: int, p: float, u: float, seed: int):
+    """Which of n windows are drawn, each with chance p: gaps between draws are geometric, the first one is that of ``u``."""
+    if p >= 1:
+        yield from range(n)
+        return
+    rng, gap = np.random.default_rng(seed), lambda u: np.floor(np.log1p(-u) / np.log1p(-p))
+    k = gap(u)
+    while k < n:
+        yield int(k)
+        k += 1 + gap(rng.random())
+
+
+def training_windows(docs: DataFrame, per_lang: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Up to per_lang windows of each language, with their labels: those with the smallest hashes of twice as many drawn."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out())
+    rows = rows.select("doc_id", "text", "lang", F.ceil(F.octet_length("text") / F.lit(WINDOW)).alias("n"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(x for x in counts if x != UNKNOWN)
     if not langs:
         return np.empty((0, WINDOW + PAD), np.uint8), np.empty(0, np.int64), []
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, 1.5 * per_lang / counts[k])])
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    picked = rows.withColumn("u", unit).where(F.col("lang").isin(langs) & (F.col("u") < share[F.col("lang")]))
+    chance = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.5 * per_lang / counts[k]))]), F.col("lang"))
+    key = F.xxhash64("doc_id", F.lit("sample"), "text")
+    unit = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
+    some = rows.where(F.col("lang").isin(langs)).select("lang", "text", key.alias("key"), unit.alias("u"), chance.alias("p"), "n")
+    picked = some.where(F.col("u") < 1 - F.pow(1 - F.col("p"), F.col("n")))
 
     def cut(batches):
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                data = t.encode()
-                last = max(0, len(data) - WINDOW)
-                places = sorted({last * k // max(1, windows - 1) for k in range(windows)})
-                out.append([data[p : p + WINDOW + PAD] for p in places])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["u", "lang", "parts"])
-
-    found = picked.select("u", "lang", "text").mapInArrow(cut, "u double, lang string, parts array<binary>").orderBy("u").limit(2 * per_lang * len(langs)).collect()
+            out = ([], [], [])
+            for lang, text, key, u, p, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                data = text.encode()
+                for k in drawn(n, p, u, key % (1 << 64)):
+                    for x, v in zip(out, (lang, key, data[k * WINDOW : (k + 1) * WINDOW + PAD]), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "key", "part"])
+
+    found = small_batches(picked).mapInArrow(cut, "lang string, key long, part binary")
+    found = found.select("lang", F.xxhash64("key", "part").alias("u"), "part").orderBy("u", "lang", "part").limit(2 * per_lang * len(langs)).collect()
     x, y, used = [], [], dict.fromkeys(langs, 0)
-    for r in sorted(found, key=lambda r: (r.u, r.lang, r.parts)):
+    for r in found:
         if used[r.lang] < per_lang:
             used[r.lang] += 1
-            for part in r.parts:
-                if part:
-                    x.append(np.frombuffer(bytes(part).ljust(WINDOW + PAD, b"\0"), np.uint8))
-                    y.append(langs.index(r.lang))
+            x.append(np.frombuffer(bytes(r.part).ljust(WINDOW + PAD, b"\0"), np.uint8))
+            y.append(langs.index(r.lang))
     return (np.stack(x) if x else np.empty((0, WINDOW + PAD), np.uint8)), np.array(y, np.int64), langs
 
 
-def learn(docs: DataFrame, per_lang: int = 800, windows: int = 6) -> Net:
-    x, y, langs = training_windows(docs, per_lang, windows)
+def learn(docs: DataFrame, per_lang: int = 4800) -> Net:
+    x, y, langs = training_windows(docs, per_lang)
     net = Net(langs if len(x) else [])
     if len(x):
         net.train(x, y)
