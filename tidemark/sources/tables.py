@@ -98,14 +98,16 @@ def sorted_signals(signals: DataFrame) -> DataFrame:
     return signals.orderBy(F.desc("today"), "ticker").withColumn("today", F.date_format("today", "yyyy-MM-dd"))
 
 
-def codes_in_names(files: DataFrame, name: str = "path", today: str | None = None) -> DataFrame:
+def codes_in_names(files: DataFrame, name: str = "path", today: str | None = None, by: str | None = None) -> DataFrame:
     """Six-digit codes in brackets in file names, each once, in order of first position.
 
-    ``files``: (pos, path). With ``today`` (yyyyMMdd), only names that hold it.
+    ``files``: (pos, path). With ``today`` (yyyyMMdd), only names that hold it. With ``by``,
+    each code once for each value of that column.
     """
     rows = files.where(F.col(name).contains(today)) if today else files
-    found = rows.select("pos", F.regexp_extract(F.col(name), r"[\[\(](\d{6})[\]\)]", 1).alias("code")).where("code <> ''")
-    return found.groupBy("code").agg(F.min("pos").alias("pos"))
+    keys = [by] if by else []
+    found = rows.select("pos", *keys, F.regexp_extract(F.col(name), r"[\[\(](\d{6})[\]\)]", 1).alias("code")).where("code <> ''")
+    return found.groupBy("code", *keys).agg(F.min("pos").alias("pos")).select("code", "pos")
 
 
 def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
