@@ -13,8 +13,11 @@ from tidemark.operators import metrics, rules, search
 from tidemark.operators.rules import Atom, Rule, rule_column
 
 
-def inferred_ops(df: DataFrame, features: list[str], y: Column, ret: Column, grid: list[float], least: int = 100, margin: float = 0.35) -> dict[str, list[str]]:
-    """For each feature the side whose best threshold scores higher, or both within ``margin``."""
+def inferred_ops(df: DataFrame, features: list[str], y: Column, ret: Column, grid: list[float], least: int = 100, margin: float = 0.35, no_lift: float = 0.0) -> dict[str, list[str]]:
+    """For each feature the side whose best threshold scores higher, or both within ``margin``.
+
+    ``no_lift``: the lift where no row is positive; NaN favours no side.
+    """
     table = rules.quantile_table(df, features, grid).collect()  # features times grid values
     atoms = {f"{i}": Atom(r.feature, op, round(r.value, 10)) for i, (r, op) in enumerate((r, op) for r in table if r.value is not None for op in (">=", "<="))}
     got = metrics.many_rules(df, {k: rules.atom_column(a) for k, a in atoms.items()}, y, ret).collect()
@@ -22,8 +25,9 @@ def inferred_ops(df: DataFrame, features: list[str], y: Column, ret: Column, gri
     for r in got:
         if r.selected_count >= least:
             a = atoms[r.rule]
-            score = 3 * (r.avg_return or 0) + 5 * (r.precision_lcb or 0) + 0.5 * (r.lift or 0) + 0.1 * math.log1p(r.selected_count)
-            best[a.feature, a.op] = max(best.get((a.feature, a.op), float("-inf")), score)
+            score = 3 * (r.avg_return or 0) + 5 * (r.precision_lcb or 0) + 0.5 * (no_lift if r.lift is None else r.lift) + 0.1 * math.log1p(r.selected_count)
+            if not math.isnan(score):
+                best[a.feature, a.op] = max(best.get((a.feature, a.op), float("-inf")), score)
     out = {}
     for f in features:
         sides = {op: best[f, op] for op in (">=", "<=") if (f, op) in best}
