@@ -61,15 +61,16 @@ def selector_score(m: dict, cap: float = 0.15) -> float:
     return 100 * _z(m["precision"]) + 30 * _z(m["lift"]) + 1.5 * math.log1p(m["positive"]) + 4 * m["pos_recall"] - 120 * max(0, m["selected_rate"] - cap)
 
 
-def stop_avoid_score(n: float, hit: float, base: float) -> float:
+def stop_avoid_score(n: float, hit: float, base: float, no_lift: float = 0.0) -> float:
+    """``no_lift``: the lift over a base of 0; NaN makes the score NaN."""
     rate = hit / n if n else 0.0
-    return rate**2 * math.log1p(n) * max(rate / base if base else 0.0, 0.01)
+    return rate**2 * math.log1p(n) * max(rate / base if base else no_lift, 0.01)
 
 
-def broad_score(n: float, pos: float, base: float) -> float:
+def broad_score(n: float, pos: float, base: float, no_lift: float = 0.0) -> float:
     """For wide rules that are to be joined: rate above the base, lift, bound, and size."""
     rate = pos / n if n else 0.0
-    return max(rate - base + 0.06, 0.001) * (rate / base if base else 0.0) ** 0.6 * max(lcb(pos, n) if n else 0.0, 0.0) * math.log1p(n) ** 1.8 * math.log1p(pos) ** 1.2
+    return max(rate - base + 0.06, 0.001) * (rate / base if base else no_lift) ** 0.6 * max(lcb(pos, n) if n else 0.0, 0.0) * math.log1p(n) ** 1.8 * math.log1p(pos) ** 1.2
 
 
 def walk_forward_score(n: float, pos: float) -> float:
