@@ -1,6 +1,7 @@
 """Fingerprints, links and components against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests_llm_helpers import brute_components, brute_fingerprint, close_pairs
 from tidemark.llm import registry, simhash
@@ -33,6 +34,20 @@ def test_links_of_clouds_and_strays(spark):
         assert got == want
 
 
+def test_only_entries_under_shared_keys_are_shuffled_again(spark):
+    rng = np.random.default_rng(2)
+    fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 2000)]
+    fps += [f ^ 5 for f in fps[:50]] + [f ^ (1 << 40) for f in fps[50:100]] + [0, -1, -2, -(1 << 63)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    every = df.select("fp", F.explode(simhash._keys()).alias("key")).select("fp", "key.slot", "key.value")
+    keys = every.groupBy("slot", "value").count().where("count > 1").select("slot", "value").cache()
+    want = {tuple(r) for r in every.join(keys, ["slot", "value"]).select("fp", "slot", "value").collect()}
+    for bits in (26, 12):
+        got = [tuple(r) for r in simhash._entries_among(df, keys, bits).collect()]
+        assert want and want <= set(got) and len(got) == len(set(got)) and (bits == 12 or len(got) < 1.1 * len(want))
+    assert simhash._entries_among(df, keys.where("slot < 0")).count() == 0
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text, "x") for r in registry.table(spark, sf_dir, "documents").collect()]
     long = next(t for _, t, _ in rows if len(t) > 3000)

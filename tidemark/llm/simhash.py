@@ -3,7 +3,8 @@
 Fingerprints (64 bits) that differ in two bits or fewer, cut into two segments, have
 a segment in which they differ by at most one bit. Each distinct fingerprint is
 indexed under every segment with one bit wild; fingerprints that meet under a key are
-candidates and the bits are counted to verify them.
+candidates and the bits are counted to verify them. Keys are counted first; of the
+entries, only those that a bitmap of the shared keys lets through are shuffled again.
 
 The hot-key path: a key that holds over ``most`` distinct fingerprints (a cloud of near
 copies) isn't paired up. Its fingerprints go a way that is exact without pairs: each is
@@ -32,10 +33,13 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, small_batches
 from tidemark.llm.components import components
+from tidemark.llm.substrings import bitmap, in_bitmap
 
 SEED = 42
 #: Links differ in so many bits at most: two segments, and centres of one bit, serve just that.
 BITS = 2
+#: Spreads the slots over the bits of a bitmap.
+_SPREAD = 2654435761
 
 
 def fingerprint(text: str | None, shingle: int = 3, chunk: int = 1 << 16) -> int:
@@ -79,6 +83,31 @@ def _keys():
     return F.array(*keys)
 
 
+def _entries_among(fps: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """fp, slot, value of the entries under ``keys``, and a few others.
+
+    A bitmap of fixed size keeps most entries that are alone under their key out of the
+    shuffle; the join with the keys decides.
+    """
+    sent = fps.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.col("value").bitwiseXOR(F.col("slot").cast("long") * F.lit(_SPREAD)).alias("hash")), bits))
+    n, width = BITS // 2 + 1, 64 // (BITS // 2 + 1)
+
+    def run(batches):
+        known = sent.value
+        for b in batches:
+            fp, cols = b.column(0).to_numpy().view(np.uint64), ([], [], [])
+            for s in range(n):
+                part = (fp >> np.uint64(width * s)) & np.uint64((1 << width) - 1)
+                for pos in range(width):
+                    value, slot = part & np.uint64(((1 << width) - 1) & ~(1 << pos)), s * 64 + pos
+                    at = np.flatnonzero(in_bitmap(known, value ^ np.uint64(slot * _SPREAD)))
+                    for col, x in zip(cols, (fp[at].view(np.int64), np.full(len(at), slot, np.int16), value[at].view(np.int64)), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["fp", "slot", "value"])
+
+    return fps.mapInArrow(run, "fp long, slot short, value long")
+
+
 def _centres():
     """The fingerprint and all its neighbours at one bit."""
     return F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
@@ -89,10 +118,11 @@ def links(fps: DataFrame, most: int = 32) -> DataFrame:
     # a task or two would read the few MB of distinct fingerprints, and each makes 64 entries
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = materialise(fps.select("fp").distinct(), "simhash-distinct")
-    entries = distinct.repartition(n, "fp").select("fp", F.explode(_keys()).alias("key")).select("fp", "key.slot", "key.value")
+    spread = distinct.repartition(n, "fp")
+    entries = spread.select(F.explode(_keys()).alias("key")).select("key.slot", "key.value")
     # counted with partial sums and joined back, so a key that holds a large part of all rows is split
     keys = materialise(entries.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    shared = materialise(entries.join(keys, ["slot", "value"]), "simhash-shared")
+    shared = materialise(_entries_among(spread, keys).join(keys, ["slot", "value"]), "simhash-shared")
     few = shared.where(F.col("n") <= most).select("slot", "value", "fp")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["slot", "value"]).where((F.col("a") < F.col("b")) & close)
