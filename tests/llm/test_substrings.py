@@ -301,3 +301,69 @@ def test_a_second_passage_behind_a_gap_and_long_texts(spark):
     assert set(got) == {0, 1, 2, 3} and got[0].n_passages == got[1].n_passages == 2 and got[0].n_repeated >= 410
     a, b = map(int, got[2].spans.split(":"))
     assert abs(a - 30000) <= 1 and abs(b - 30070) <= 1
+
+
+def crowded_rows(rng, every, cases=8, fillers=24):
+    """Pairs of texts with an edited passage, each of whose equal pieces stands in ``fillers`` other texts as well."""
+    rows, want = [], set()
+    for _ in range(cases):
+        p = say(rng, 60, 10**6)
+        q = edited(p, every)
+        want |= {len(rows), len(rows) + 1}
+        rows += [say(rng, 50, 10**6) + x + say(rng, 50, 10**6) for x in (p, q)]
+        for a in range(0, 60, every):
+            rows += [say(rng, 50, 10**6) + p[a : a + every - 1] + say(rng, 50, 10**6) for _ in range(fillers)]
+    return rows, want
+
+
+def test_crowded_seeds_hide_no_edited_passage(spark):
+    """All equal pieces are crowded, and no piece's other holders share a passage."""
+    for every in (6, 8):
+        rows, want = crowded_rows(np.random.default_rng(20 + every), every)
+        got = found_in(spark, rows)
+        assert set(got) == want
+        firsts = sorted(want)[::2]
+        assert all(got[i].class_id == got[i + 1].class_id == i for i in firsts)
+
+
+def test_pairs_left_out_hold_no_passage():
+    """Of places of a seed, those that can't lie in a passage aren't found by aligning them, alone or along chains."""
+    rng = np.random.default_rng(30)
+    line = say(rng, 14, 10**6)
+    rows = []
+    for _ in range(40):
+        tail = say(rng, 60, 40)
+        rows += [say(rng, 50, 10**6) + line + tail + say(rng, 20, 10**6), say(rng, 3, 10**6) + line + [w for w in tail if rng.random() > 0.1] + say(rng, 60, 10**6)]
+        rows.append(say(rng, 60, 40) + line)
+    t = S.Texts([" ".join(r).encode() for r in rows])
+    h, text, at = t.seeds()
+    at = at - t.first[text]
+    places = {}
+    for s, i, a in zip(h.tolist(), text.tolist(), at.tolist(), strict=True):
+        places.setdefault(s, []).append((i, a))
+    near = {i: [(a, s) for s, j, a in zip(h.tolist(), text.tolist(), at.tolist(), strict=True) if j == i and len(places[s]) > 1] for i in range(len(rows))}
+    flat = [(s, i, a) for s, v in places.items() if len(v) > 1 for i, a in v]
+    code = [[x % 255 + 1 for x in (t.words(i) >> np.uint64(20)).tolist()] for i in range(len(rows))]
+    words, row, spots = np.zeros((len(flat), 2 * S.REACH), np.uint8), [], []
+    for n, (_, i, a) in enumerate(flat):
+        left, right = code[i][max(0, a - S.REACH) : a][::-1], code[i][a + S.K : a + S.K + S.REACH]
+        words[n, : len(left)], words[n, S.REACH : S.REACH + len(right)] = left, right
+        for b, s in near[i]:
+            if b != a and abs(b - a) <= S.REACH:
+                row.append(n)
+                spots.append((b - a, s & 65535))
+    held = S.Places(words, np.array(row), np.array(spots, S._NEAR))
+    i, j = (np.array(v) for v in zip(*[(x, y) for x in range(len(flat)) for y in range(x + 1, len(flat)) if flat[x][0] == flat[y][0] and flat[x][1] != flat[y][1]], strict=True))
+    may = held.may(i, j)
+    match = {}
+    for x, y, ok in zip(i.tolist(), j.tolist(), may.tolist(), strict=True):
+        every, some = match.setdefault((flat[x][1], flat[y][1]), ([], []))
+        every.append((flat[x][2], flat[y][2], S.LIKE))
+        if ok:
+            some.append(every[-1])
+    found = {}
+    for pair, sides in match.items():
+        a, b = ((0, t.words(k)) for k in pair)
+        found[pair] = [any(S.straight_passages(a, b, path) or S.passages(S.pieces((x, y, 1) for x, y in S.align(S.numbered(a), S.numbered(b), path))) for path in S.settle(m)[1]) if m else False for m in sides]
+    assert sum(x for x, _ in found.values()) >= 20 and all(x == y for x, y in found.values())
+    assert 0 < may.sum() < len(may) / 2
