@@ -3,6 +3,7 @@
 import numpy as np
 
 from tidemark.llm import substrings as S
+from tidemark.llm.common import shuffles_freed
 
 
 def say(rng, n, words=4000):
@@ -368,3 +369,50 @@ def test_pairs_left_out_hold_no_passage():
         found[pair] = [any(S.straight_passages(a, b, path) or S.passages(S.pieces((x, y, 1) for x, y in S.align(S.numbered(a), S.numbered(b), path))) for path in S.settle(m)[1]) if m else False for m in sides]
     assert sum(x for x, _ in found.values()) >= 20 and all(x == y for x, y in found.values())
     assert 0 < may.sum() < len(may) / 2
+
+
+def test_places_of_a_common_line_without_more_in_common_are_left_out():
+    """A line of 20 words in 60 texts whose other shared seeds are shared with other texts than these."""
+    rng = np.random.default_rng(31)
+    n = 60
+    words = rng.integers(1, 255, (n, 2 * S.REACH)).astype(np.uint8)
+    words[:, S.REACH : S.REACH + 16] = words[0, S.REACH : S.REACH + 16]
+    spots = np.array([(e, 1000 * i + e % 500) for i in range(n) for e in range(-87, 87, 6) if e], S._NEAR)
+    held = S.Places(words, np.repeat(np.arange(n), len(spots) // n), spots)
+    i, j = np.triu_indices(n, 1)
+    assert held.may(i, j).sum() < len(i) / 50
+    # a stretch of 25 more words behind an edit is found
+    words[1, S.REACH + 18 : S.REACH + 46] = words[0, S.REACH + 17 : S.REACH + 45]
+    held = S.Places(words, np.repeat(np.arange(n), len(spots) // n), spots)
+    assert held.may(np.array([0, 1]), np.array([1, 0])).all() and held.maybe(np.array([0]), np.array([1])).all()
+
+
+def test_scores_of_alignments_equal_a_quadratic_table():
+    rng = np.random.default_rng(32)
+    words = rng.integers(1, 6, (12, 2 * S.REACH)).astype(np.uint8)
+    words[:, 60:S.REACH] = words[:1, 60:S.REACH]
+    words[1::2, S.REACH + 3 :] = words[::2, S.REACH : -3]
+    words[4, 50:S.REACH] = words[5, S.REACH + 70 :] = 0
+    held = S.Places(words, np.zeros(0, np.int64), np.zeros(0, S._NEAR))
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(12), np.arange(12)))
+    i, j = i[i != j], j[i != j]
+    for side in (0, 1):
+        got = held.scores(i, j, side)
+        for k, (a, b) in enumerate(zip(words.reshape(12, 2, -1)[i, side].tolist(), words.reshape(12, 2, -1)[j, side].tolist(), strict=True)):
+            table, best = {(0, 0): 0}, [0] + [-100] * S.REACH
+            for x in range(S.REACH + 1):
+                for y in range(max(0, x - S.SHIFT), min(S.REACH, x + S.SHIFT) + 1):
+                    if x or y:
+                        same = x and y and a[x - 1] == b[y - 1] != 0
+                        table[x, y] = max(-100, table.get((x - 1, y - 1), -999) + (1 if same else -2 * S.SKIP), table.get((x - 1, y), -999) - S.SKIP, table.get((x, y - 1), -999) - S.SKIP)
+                    best[max(x, y)] = max(best[max(x, y)], table[x, y])
+            best[S.REACH] += 2 * S.LEAST - S.K - S.REACH
+            assert got[:, k].tolist() == best
+
+
+def test_shuffles_are_freed_only_within(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
