@@ -380,7 +380,7 @@ def test_places_of_a_common_line_without_more_in_common_are_left_out():
     spots = np.array([(e, 1000 * i + e % 500) for i in range(n) for e in range(-87, 87, 6) if e], S._NEAR)
     held = S.Places(words, np.repeat(np.arange(n), len(spots) // n), spots)
     i, j = np.triu_indices(n, 1)
-    assert held.may(i, j).sum() < len(i) / 50
+    assert held.may(i, j).sum() < len(i) / 500
     # a stretch of 25 more words behind an edit is found
     words[1, S.REACH + 18 : S.REACH + 46] = words[0, S.REACH + 17 : S.REACH + 45]
     held = S.Places(words, np.repeat(np.arange(n), len(spots) // n), spots)
